@@ -166,8 +166,9 @@ def reclassify_candidates(sources: DataFrame, limit: int = 500, since: dt.dateti
 def incident_articles(records: DataFrame, sources: DataFrame, fallback_title: Column | None = None) -> DataFrame:
     """Articles of each incident: distinct linked sources, and a stand-in row for
     records that carry no source id.  A dangling source id yields nothing.
-    Ordered position: undated articles first, then newest first.
+    Sorted per incident: undated articles first, then newest first.
     """
+    records = records.where(F.col("unique_event_id").isNotNull())
     linked = (
         records.where(F.col("source_google_news_id").isNotNull())
         .select("unique_event_id", F.col("source_google_news_id").alias("id"))
@@ -188,5 +189,6 @@ def incident_articles(records: DataFrame, sources: DataFrame, fallback_title: Co
         F.col("event_date").alias("published_at"),
         F.lit("raw_fallback").alias("kind"),
     )
-    newest = Window.partitionBy("unique_event_id").orderBy(F.col("published_at").desc_nulls_first(), "id")
-    return linked.unionByName(orphan).withColumn("position", F.row_number().over(newest))
+    return linked.unionByName(orphan).orderBy(
+        "unique_event_id", F.col("published_at").desc_nulls_first(), "id"
+    )

@@ -113,7 +113,9 @@ def heartbeat_misses(beats: DataFrame, worker: str, time: str, ok: str, limit: i
     The run of misses is counted per stretch between two successful beats.
     """
     keyed = beats.select(worker, time, ok)
-    stretched = running_sum(keyed, [worker], time, ok, F.col(ok).cast("int"), "_stretch")
+    stretched = running_sum(
+        keyed, [worker], [time, ok], F.date_trunc("hour", F.col(time)), F.col(ok).cast("int"), "_stretch"
+    )
     runs = stretched.where(~F.col(ok)).groupBy(worker, "_stretch").count()
     return runs.groupBy(worker).agg(F.max("count").alias("longest_miss_run")).withColumn(
         "alarm", F.col("longest_miss_run") >= limit

@@ -45,14 +45,14 @@ def first_wins(df: DataFrame, keys: list[str], arrival: list[Column]) -> DataFra
     return first.unionByName(df.where(~known))
 
 
-def running_sum(df: DataFrame, keys: list[str], time: str, tie: str, value: Column, name: str, grain: str = "hour") -> DataFrame:
-    """Running total of a value within each key, in (time, tie) order.
+def running_sum(df: DataFrame, keys: list[str], order: list[str], slot: Column, value: Column, name: str) -> DataFrame:
+    """Running total of a value within each key, in the given order.
 
-    Two levels: totals run inside (key, time slot) and are shifted by the sums
-    of the earlier slots, so a hot key spreads over its slots instead of being
-    sorted whole in one task.
+    Two levels: totals run inside (key, slot) and are shifted by the sums of the
+    earlier slots, so a hot key spreads over its slots instead of being sorted
+    whole in one task.  `slot` must not decrease along the order.
     """
-    slotted = df.withColumn("_slot", F.date_trunc(grain, F.col(time))).withColumn("_v", value.cast("long"))
+    slotted = df.withColumn("_slot", slot).withColumn("_v", value.cast("long"))
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         slotted.groupBy(*keys, "_slot")
@@ -66,7 +66,7 @@ def running_sum(df: DataFrame, keys: list[str], time: str, tie: str, value: Colu
     match = F.col("_slot").eqNullSafe(F.col("_s"))
     for i, k in enumerate(keys):
         match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    inside = Window.partitionBy(*keys, "_slot").orderBy(time, tie).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         slotted.join(offsets, match)
         .withColumn(name, F.sum("_v").over(inside) + F.col("_before"))
@@ -74,10 +74,16 @@ def running_sum(df: DataFrame, keys: list[str], time: str, tie: str, value: Colu
     )
 
 
+def id_slot(id_col: str = "id", width: int = 100_000) -> Column:
+    """Slot for running totals in id order."""
+    return F.floor(F.col(id_col) / width)
+
+
 def attempt_numbers(attempts: DataFrame, grain: str = "hour") -> DataFrame:
     """Attempt number per (source, stage): earlier attempts plus one."""
     keys = ["source_google_news_id", "stage"]
-    return running_sum(attempts, keys, "created_at", "id", F.lit(1), "attempt_no", grain)
+    slot = F.date_trunc(grain, F.col("created_at"))
+    return running_sum(attempts, keys, ["created_at", "id"], slot, F.lit(1), "attempt_no")
 
 
 def round_robin(df: DataFrame, stratum: str, n: int, seed: int = 42, id_col: str = "id") -> DataFrame:

@@ -617,14 +617,11 @@ def claimable_work(a: Archive) -> DataFrame:
 
 
 @query("incident_articles", ("raw", "source"), """
-    WITH a AS (
-      SELECT DISTINCT r.unique_event_id, s.id, s.headline, s.publisher_name, s.fetched_at AS published_at, 'source' AS kind
-      FROM raw r JOIN source s ON r.source_google_news_id = s.id
-      UNION ALL
-      SELECT unique_event_id, -id, title, NULL, event_date, 'raw_fallback' FROM raw WHERE source_google_news_id IS NULL)
-    SELECT unique_event_id, id, headline, kind,
-      row_number() OVER (PARTITION BY unique_event_id ORDER BY published_at DESC NULLS FIRST, id) AS position
-    FROM a""")
+    SELECT DISTINCT r.unique_event_id, s.id, s.headline, 'source' AS kind
+    FROM raw r JOIN source s ON r.source_google_news_id = s.id WHERE r.unique_event_id IS NOT NULL
+    UNION ALL
+    SELECT unique_event_id, -id, title, 'raw_fallback' FROM raw
+    WHERE source_google_news_id IS NULL AND unique_event_id IS NOT NULL""")
 def incident_articles(a: Archive) -> DataFrame:
     sources = a.source.withColumn("published_at", F.col("fetched_at"))
-    return lists.incident_articles(a.raw, sources).select("unique_event_id", "id", "headline", "kind", "position")
+    return lists.incident_articles(a.raw, sources).select("unique_event_id", "id", "headline", "kind")

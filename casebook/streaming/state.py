@@ -60,7 +60,9 @@ def sharding_batch(runs: DataFrame, threshold: int = fixed.SHARDING_THRESHOLD) -
 
 def sharding_history(runs: DataFrame, tie: str, threshold: int = fixed.SHARDING_THRESHOLD) -> DataFrame:
     """Flag as it stood after each run: sticky once a run reached the threshold."""
-    hits = running_sum(runs, ["city"], "fetched_at", tie, (F.col("results") >= threshold).cast("int"), "_hits", "day")
+    reached = (F.col("results") >= threshold).cast("int")
+    day = F.date_trunc("day", F.col("fetched_at"))
+    hits = running_sum(runs, ["city"], ["fetched_at", tie], day, reached, "_hits")
     return hits.withColumn("needs_sharding", F.col("_hits") > 0).drop("_hits")
 
 
