@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook import fixed
@@ -30,9 +30,8 @@ def method_of_death(text: Column) -> Column:
     return first_label(text, fixed.METHOD_RULES)
 
 
-def method_unspecified(text: Column) -> Column:
-    """True when the article says the method is unknown."""
-    method = method_of_death(text)
+def method_unspecified(text: Column, method: Column) -> Column:
+    """True when the article says the method is unknown.  `method` is the keyword method."""
     shot = F.coalesce(method == "Arma de fogo", F.lit(False)) & contains_any(text, fixed.GUN_EVIDENCE)
     body_found = (
         text.contains("corpo")
@@ -53,11 +52,9 @@ def hypothesis_only(text: Column) -> Column:
     return contains_any(text, fixed.ELSEWHERE_MARKERS) | any_of(near)
 
 
-def qualified(text: Column) -> Column:
+def qualified(text: Column, method: Column) -> Column:
     """Aggravated homicide by the article's wording."""
-    shot_execution = text.contains("executado") & F.coalesce(
-        method_of_death(text) == "Arma de fogo", F.lit(False)
-    )
+    shot_execution = text.contains("executado") & F.coalesce(method == "Arma de fogo", F.lit(False))
     execution_by_gun = text.rlike(r"\bexecu(?:cao|ção)\b") & text.contains("tiro")
     return ~hypothesis_only(text) & (
         contains_any(text, fixed.QUALIFIED_MARKERS) | shot_execution | execution_by_gun
@@ -69,11 +66,11 @@ def patrol_shootout(text: Column) -> Column:
     return contains_any(text, fixed.POLICE_WORDS) & contains_any(text, fixed.PATROL_MARKERS)
 
 
-def insufficient_case(text: Column) -> Column:
+def insufficient_case(text: Column, method: Column) -> Column:
     """Body found, no sign of violence, and the article says little else."""
     return (
         text.contains("corpo")
-        & method_of_death(text).isNull()
+        & method.isNull()
         & ~contains_any(text, fixed.VIOLENT_WORDS)
         & contains_any(text, fixed.SCANT_MARKERS)
     )
@@ -127,54 +124,57 @@ def state_hint(city: Column, publisher: Column, url: Column) -> Column:
     return F.when((lower_fold(city) == "campo grande") & hinted, F.lit("MS"))
 
 
-def corrected_method(method: Column, text: Column) -> Column:
-    return (
-        F.when(method_unspecified(text) | (method == "Outro"), fixed.METHOD_UNSPECIFIED)
-        .when(method.isNull(), method_of_death(text))
-        .when((method == "Objeto contundente") & text.contains("espanc"), "Espancamento")
-        .otherwise(method)
+def correct_records(df: DataFrame, record: str = "record") -> DataFrame:
+    """Apply every correction to a nested extraction column.
+
+    df: the record column plus content, headline, published_at, publisher_name,
+    resolved_url.  Each rule is a column of its own, so it is evaluated once
+    however many corrections look at it.
+    """
+    r = F.col(record)
+    family, subtype, method = r["event_family"], r["event_subtype"], r["homicide_dynamic"]["method"]
+    text, kind = F.col("_text"), F.col("_method")
+    flagged = (
+        df.withColumn("_text", source_text(F.col("content"), F.col("headline")))
+        .withColumns({
+            "_method": method_of_death(text),
+            "_patrol": patrol_shootout(text),
+            "_fatal": fatal_count(text),
+            "_date": date_fix(F.col("content"), F.col("published_at"), r["date_time"]["date"]),
+        })
+        .withColumns({
+            "_unspecified": method_unspecified(text, kind),
+            "_qualified": qualified(text, kind),
+            "_scant": insufficient_case(text, kind),
+        })
     )
-
-
-def corrected_family(family: Column, text: Column) -> Column:
-    return F.when(insufficient_case(text), F.lit("nao_classificado")).otherwise(family)
-
-
-def corrected_subtype(family: Column, subtype: Column, text: Column) -> Column:
-    homicide = ~insufficient_case(text) & (family == "homicidio")
-    return (
-        F.when(insufficient_case(text), F.lit("outro"))
-        .when(homicide & (subtype == "intervencao_policial") & patrol_shootout(text), "simples")
-        .when(homicide & (subtype == "simples") & qualified(text), "qualificado")
-        .when(homicide & (subtype == "qualificado") & ~qualified(text), "simples")
+    scant = F.col("_scant")
+    homicide = ~scant & (family == "homicidio")
+    new_subtype = (
+        F.when(scant, F.lit("outro"))
+        .when(homicide & (subtype == "intervencao_policial") & F.col("_patrol"), "simples")
+        .when(homicide & (subtype == "simples") & F.col("_qualified"), "qualificado")
+        .when(homicide & (subtype == "qualificado") & ~F.col("_qualified"), "simples")
         .otherwise(subtype)
     )
-
-
-def correct_record(
-    record: Column, content: Column, headline: Column, published: Column, publisher: Column, url: Column
-) -> Column:
-    """All corrections applied to one nested extraction struct."""
-    text = source_text(content, headline)
-    family, subtype = record["event_family"], record["event_subtype"]
-    date = record["date_time"]["date"]
-    return (
-        record.withField("event_family", corrected_family(family, text))
-        .withField("event_subtype", corrected_subtype(family, subtype, text))
+    new_method = (
+        F.when(F.col("_unspecified") | (method == "Outro"), fixed.METHOD_UNSPECIFIED)
+        .when(method.isNull(), kind)
+        .when((method == "Objeto contundente") & text.contains("espanc"), "Espancamento")
+        .otherwise(method)
+    )
+    place = r["location_info"]
+    hint = state_hint(place["city"], F.col("publisher_name"), F.col("resolved_url"))
+    fixed_record = (
+        r.withField("event_family", F.when(scant, F.lit("nao_classificado")).otherwise(family))
+        .withField("event_subtype", new_subtype)
         .withField(
             "content_class",
-            F.when(family == "acidente_fatal", F.lit("accident_disaster")).otherwise(record["content_class"]),
-        )
-        .withField("homicide_dynamic.method", corrected_method(record["homicide_dynamic"]["method"], text))
-        .withField("date_time.date", plain_date(F.coalesce(date_fix(content, published, date), date)))
-        .withField(
-            "victims.number_of_victims",
-            F.coalesce(fatal_count(text), record["victims"]["number_of_victims"]),
-        )
-        .withField(
-            "location_info.state",
-            F.coalesce(
-                state_hint(record["location_info"]["city"], publisher, url), record["location_info"]["state"]
-            ),
+            F.when(family == "acidente_fatal", F.lit("accident_disaster")).otherwise(r["content_class"]),
         )
+        .withField("homicide_dynamic.method", new_method)
+        .withField("date_time.date", plain_date(F.coalesce(F.col("_date"), r["date_time"]["date"])))
+        .withField("victims.number_of_victims", F.coalesce(F.col("_fatal"), r["victims"]["number_of_victims"]))
+        .withField("location_info.state", F.coalesce(hint, place["state"]))
     )
+    return flagged.withColumn(record, fixed_record).select(*df.columns)

@@ -1,4 +1,4 @@
-"""Sequence similarity (matching blocks, 2M/T) and its cheap exact bounds.
+"""Sequence similarity as expressions, with its cheap exact bounds.
 
 The ratio itself needs Python; it runs as an Arrow-batched pandas UDF on pairs
 that native bounds could not rule out.  The bounds never rule out a true match.
@@ -6,18 +6,17 @@ that native bounds could not rule out.  The bounds never rule out a true match.
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from casebook.functions.judges import ratio
 
-def ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
+TINY = 3
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of two texts; the order of arguments matters on long texts."""
     return pd.Series(
@@ -31,39 +30,38 @@ def length_bound(a: Column, b: Column, threshold: float) -> Column:
     return 2 * F.least(la, lb) >= F.lit(threshold) * (la + lb)
 
 
-def bigrams(text: Column) -> Column:
-    """Numbered two-letter grams ('ab#1', 'ab#2', ...) so repeats count apart."""
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))),
-        lambda i: F.substring(text, i, F.lit(2)),
+def grams(text: Column) -> Column:
+    """Numbered two-letter grams ('ab1', 'ab2', ...), so repeats count apart.
+
+    Texts of up to three letters also carry their single letters, because two
+    such texts can be similar without sharing a gram.
+    """
+    plain = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2))
     )
     numbered = F.transform(
-        grams,
+        plain,
         lambda g, i: F.concat(
-            g, F.lit("#"), F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda x: x == g)).cast("string")
+            g, F.size(F.filter(F.slice(plain, F.lit(1), i + 1), lambda x: x == g)).cast("string")
         ),
     )
-    return F.when(F.length(text) >= 2, numbered).otherwise(F.array().cast("array<string>"))
+    letters = F.transform(F.split(text, ""), lambda c: F.concat(F.lit("~"), c))
+    return F.when(F.length(text) <= TINY, F.array_distinct(F.concat(numbered, letters))).otherwise(numbered)
 
 
-def min_shared_bigrams(total_length: Column, threshold: float) -> Column:
-    """Fewest grams two texts of this joint length share at the threshold.
+def probe_size(length: Column, threshold: float) -> Column:
+    """How many of a text's grams must be looked up so no match is missed.
 
-    With M matched letters in k blocks, k <= T - 2M + 1 because two blocks are
-    always parted by an unmatched letter; a block of m letters holds m - 1 grams,
-    so at least M - k >= 3M - T - 1 grams are shared, and M >= threshold * T / 2.
+    With M matched letters in k blocks of texts of joint length T, k <= T - 2M + 1
+    because two blocks are always parted by an unmatched letter; a block of m
+    letters holds m - 1 grams, so at least M - k >= 3M - T - 1 grams are shared,
+    and M >= threshold * T / 2.  The shortest possible partner gives the bound.
     """
-    return F.ceil(F.lit(1.5 * threshold - 1.0) * total_length - 1)
+    joint = length * F.lit(2.0 / (2.0 - threshold))
+    shared = F.ceil(F.lit(1.5 * threshold - 1.0) * joint - 1 - 1e-9)
+    return F.when(length <= TINY, F.lit(2 * TINY)).otherwise(length - 1 - F.greatest(shared, F.lit(1)) + 1)
 
 
 def fuzzy_name(a: Column, b: Column, score: Column, threshold: float) -> Column:
     """Equal, contained, or similar enough; empty names never match."""
     return (a != "") & (b != "") & (a.contains(b) | b.contains(a) | (score >= threshold))
-
-
-def reaches(a: str, b: str, threshold: float) -> bool:
-    """ratio(a, b) >= threshold, with the cheap upper bounds tried first."""
-    matcher = SequenceMatcher(None, a, b)
-    if matcher.real_quick_ratio() < threshold or matcher.quick_ratio() < threshold:
-        return False
-    return matcher.ratio() >= threshold

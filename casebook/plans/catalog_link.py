@@ -1,0 +1,357 @@
+"""Queries of entity resolution: blocking, duplicates, merges, fusion."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from casebook.functions import payload
+from casebook.operators import candidates, fusion, merge, neardup, ranking, resolve, sampling
+from casebook.operators.components import connected_components
+from casebook.plans.catalog_text import fold_sql
+from casebook.plans.registry import query
+from casebook.plans.standins import ORDERS_AS_OF, Archive
+
+DAY_CITY = "CAST(event_date AS DATE)"
+
+
+# --- blocking ---------------------------------------------------------------------------
+@query("block_date_city", ("raw", "incident"), """
+    SELECT r.id AS raw_id, u.id AS unique_id FROM raw r JOIN incident u ON lower(r.city) = lower(u.city)
+      AND u.event_date BETWEEN r.event_date - INTERVAL 1 DAY AND r.event_date + INTERVAL 1 DAY""")
+def block_date_city(a: Archive) -> DataFrame:
+    return candidates.by_date_city(a.raw, a.incident).select(F.col("r_id").alias("raw_id"), F.col("u_id").alias("unique_id"))
+
+
+@query("block_neighborhood", ("raw", "incident"), """
+    SELECT r.id AS raw_id, u.id AS unique_id FROM raw r JOIN incident u ON lower(r.city) = lower(u.city)
+      AND lower(r.neighborhood) = lower(u.neighborhood)
+      AND u.event_date BETWEEN r.event_date - INTERVAL 1 DAY AND r.event_date + INTERVAL 1 DAY
+    WHERE r.name IS NULL""")
+def block_neighborhood(a: Archive) -> DataFrame:
+    unnamed = a.raw.where(F.col("name").isNull())
+    return candidates.by_neighborhood(unnamed, a.incident).select(
+        F.col("r_id").alias("raw_id"), F.col("u_id").alias("unique_id")
+    )
+
+
+@query("title_fuzzy_block")
+def title_fuzzy_block(a: Archive) -> DataFrame:
+    return candidates.by_title(a.raw, a.incident).select(
+        F.col("r_id").alias("raw_id"), F.col("u_id").alias("unique_id"), F.round("similarity", 6).alias("similarity")
+    )
+
+
+@query("title_equal_block", ("raw", "incident"), f"""
+    SELECT r.id AS raw_id, u.id AS unique_id FROM raw r JOIN incident u ON lower(r.city) = lower(u.city)
+      AND u.event_date BETWEEN r.event_date - INTERVAL 3 DAY AND r.event_date + INTERVAL 3 DAY
+      AND {fold_sql('r.title')} = {fold_sql('u.title')}""")
+def title_equal_block(a: Archive) -> DataFrame:
+    from casebook.functions.text import fold
+
+    same = [(F.lower("city"), F.lower("city")), (fold(F.col("title")), fold(F.col("title")))]
+    pairs = candidates.window_join(a.raw, a.incident, 3, same)
+    return pairs.select(F.col("r_id").alias("raw_id"), F.col("u_id").alias("unique_id"))
+
+
+@query("victim_name_block")
+def victim_name_block(a: Archive) -> DataFrame:
+    return candidates.by_victim_name(a.named_raw, a.named_incident, ORDERS_AS_OF).select(
+        F.col("r_id").alias("raw_id"), F.col("u_id").alias("unique_id")
+    )
+
+
+@query("candidate_union", ("raw", "incident"), """
+    WITH p AS (
+      SELECT r.id AS raw_id, u.id AS unique_id, 2 AS rank FROM raw r JOIN incident u ON lower(r.city) = lower(u.city)
+        AND u.event_date BETWEEN r.event_date - INTERVAL 1 DAY AND r.event_date + INTERVAL 1 DAY
+      UNION ALL
+      SELECT r.id, u.id, 3 FROM raw r JOIN incident u ON lower(r.city) = lower(u.city)
+        AND lower(r.neighborhood) = lower(u.neighborhood)
+        AND u.event_date BETWEEN r.event_date - INTERVAL 1 DAY AND r.event_date + INTERVAL 1 DAY WHERE r.name IS NULL)
+    SELECT raw_id, unique_id, CASE min(rank) WHEN 2 THEN 'date_city' ELSE 'neighborhood' END AS strategy,
+      count(DISTINCT rank) AS strategies FROM p GROUP BY 1, 2""")
+def candidate_union(a: Archive) -> DataFrame:
+    unnamed = a.raw.where(F.col("name").isNull())
+    return candidates.union_candidates({
+        "date_city": candidates.by_date_city(a.raw, a.incident),
+        "neighborhood": candidates.by_neighborhood(unnamed, a.incident),
+    })
+
+
+@query("all_candidates")
+def all_candidates(a: Archive) -> DataFrame:
+    return candidates.find_candidates(a.named_raw, a.named_incident, ORDERS_AS_OF)
+
+
+@query("nearest_k", ("raw", "incident"), """
+    SELECT raw_id, unique_id, gap_days, rank FROM (
+      SELECT r.id AS raw_id, u.id AS unique_id, CAST(abs(date_diff('day', CAST(r.event_date AS DATE), CAST(u.event_date AS DATE))) AS INT) AS gap_days,
+        row_number() OVER (PARTITION BY r.id ORDER BY abs(date_diff('day', CAST(r.event_date AS DATE), CAST(u.event_date AS DATE))), u.id) AS rank
+      FROM raw r JOIN incident u ON lower(r.city) = lower(u.city)
+        AND u.event_date BETWEEN r.event_date - INTERVAL 7 DAY AND r.event_date + INTERVAL 7 DAY
+      WHERE abs(date_diff('day', CAST(r.event_date AS DATE), CAST(u.event_date AS DATE))) >= 2) WHERE rank <= 3""")
+def nearest_k(a: Archive) -> DataFrame:
+    near = candidates.nearest_in_time(a.raw, a.incident, 3, 2, 7)
+    return near.select(F.col("r_id").alias("raw_id"), F.col("u_id").alias("unique_id"), "gap_days", "rank")
+
+
+# --- duplicates ---------------------------------------------------------------------------
+@query("exact_duplicates", ("incident",), f"""
+    SELECT group_id, id, survivor_id, size FROM (
+      SELECT id, min(id) OVER w AS group_id, count(*) OVER w AS size,
+        first_value(id) OVER (PARTITION BY t, c, d ORDER BY source_count DESC, id) AS survivor_id
+      FROM (SELECT id, source_count, {fold_sql('title')} AS t, {fold_sql('city')} AS c, {DAY_CITY} AS d FROM incident)
+      WHERE t <> '' AND c <> '' AND d IS NOT NULL
+      WINDOW w AS (PARTITION BY t, c, d)) WHERE size > 1""")
+def exact_duplicates(a: Archive) -> DataFrame:
+    return merge.exact_groups(a.incident).select("group_id", "id", "survivor_id", "size")
+
+
+@query("components", (), """
+    WITH RECURSIVE e AS (SELECT conv_id * 2 AS a, doc_id * 2 + 1 AS b FROM conversations JOIN documents
+        ON md5(conversations.text) = md5(documents.text)
+      UNION SELECT c_custkey * 2, c_nationkey * 200000 + CAST(floor(c_acctbal / 100) AS BIGINT) * 2 + 1 FROM customer),
+    n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+    r(x, y) AS (SELECT x, x FROM n UNION SELECT r.x, n.y FROM r JOIN n ON r.y = n.x)
+    SELECT x AS id, min(y) AS component FROM r GROUP BY 1""")
+def components(a: Archive) -> DataFrame:
+    """Customers tied together by nation and balance band, found as graph components."""
+    band = F.col("c_nationkey") * 200000 + F.floor(F.col("c_acctbal") / 100).cast("long") * 2 + 1
+    edges = a.table("customer").select((F.col("c_custkey") * 2).alias("id_a"), band.alias("id_b"))
+    same = a.table("conversations").select("conv_id", F.md5("text").alias("h")).join(
+        a.table("documents").select("doc_id", F.md5("text").alias("h")), "h"
+    ).select((F.col("conv_id") * 2).alias("id_a"), (F.col("doc_id") * 2 + 1).alias("id_b"))
+    return connected_components(edges.unionByName(same))
+
+
+@query("near_dup_native", ("incident",), f"""
+    WITH RECURSIVE t AS (SELECT id, {fold_sql('title')} AS t, {fold_sql("coalesce(city, '')")} AS c, {DAY_CITY} AS d,
+        {fold_sql("split_part(victims_summary, ',', 1)")} AS k,
+        {fold_sql("chronological_description")} AS g FROM incident
+      WHERE (content_class IS NULL OR content_class = 'incident') AND city IS NOT NULL AND event_date IS NOT NULL),
+    e AS (SELECT x.id AS a, y.id AS b FROM t x JOIN t y ON x.c = y.c AND x.d = y.d AND x.id <> y.id
+      WHERE (x.k <> '' AND y.k <> '' AND (x.k = y.k OR contains(x.k, y.k) OR contains(y.k, x.k)))
+        OR contains(x.t, y.t) OR contains(y.t, x.t) OR x.g = y.g),
+    r(x, y) AS (SELECT a, a FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
+    SELECT x AS id, min(y) AS component FROM r GROUP BY 1""")
+def near_dup_native(a: Archive) -> DataFrame:
+    from casebook.operators.filters import scan_scope
+
+    rows = neardup.features(a.named_incident.where(scan_scope()))
+    return connected_components(neardup.native_links(rows))
+
+
+@query("near_dup_groups")
+def near_dup_groups(a: Archive) -> DataFrame:
+    _, members = neardup.near_duplicate_groups(a.named_incident, dt.date(1995, 1, 1))
+    return members.select("group_id", "id", "survivor_id", "size")
+
+
+@query("near_dup_pairs")
+def near_dup_pairs(a: Archive) -> DataFrame:
+    pairs, _ = neardup.near_duplicate_groups(a.named_incident, dt.date(1995, 1, 1))
+    return pairs
+
+
+@query("largest_duplicate_groups")
+def largest_duplicate_groups(a: Archive) -> DataFrame:
+    groups = merge.exact_groups(a.incident).select("group_id", "survivor_id", "size").distinct()
+    return ranking.largest_groups(groups)
+
+
+@query("pending_clusters")
+def pending_clusters(a: Archive) -> DataFrame:
+    pending = a.named_raw.where(F.col("deduplication_status") == "pending")
+    grouped = neardup.pending_groups(pending)
+    return neardup.cluster_groups(grouped, resolve.GROUP)
+
+
+@query("pending_overlaps")
+def pending_overlaps(a: Archive) -> DataFrame:
+    pending = a.named_raw.where(F.col("deduplication_status") == "pending")
+    return neardup.pending_overlaps(pending)
+
+
+# --- merges ----------------------------------------------------------------------------------
+_PLAN = f"""plan AS (SELECT id AS loser, survivor FROM (
+      SELECT id, count(*) OVER (PARTITION BY t, c, d) AS size,
+        first_value(id) OVER (PARTITION BY t, c, d ORDER BY source_count DESC, id) AS survivor
+      FROM (SELECT id, source_count, {fold_sql('title')} AS t, {fold_sql('city')} AS c, {DAY_CITY} AS d FROM incident)
+      WHERE t <> '' AND c <> '' AND d IS NOT NULL) WHERE size > 1 AND id <> survivor)"""
+
+
+@query("survivor_merge", ("incident", "raw"), f"""
+    WITH {_PLAN},
+    links AS (SELECT coalesce(survivor, unique_event_id) AS u, count(*) AS n FROM raw LEFT JOIN plan ON unique_event_id = loser
+      WHERE unique_event_id IS NOT NULL GROUP BY 1),
+    donor AS (SELECT survivor, min(loser) AS loser FROM plan JOIN incident ON id = loser WHERE latitude IS NOT NULL GROUP BY 1)
+    SELECT i.id, CAST(CASE WHEN i.id IN (SELECT survivor FROM plan) THEN coalesce(links.n, 0) ELSE i.source_count END AS INT) AS source_count,
+      coalesce(i.latitude, g.latitude) AS latitude,
+      CASE WHEN i.latitude IS NULL THEN g.longitude ELSE i.longitude END AS longitude,
+      CASE WHEN i.id IN (SELECT survivor FROM plan) THEN TRUE ELSE i.needs_enrichment END AS needs_enrichment
+    FROM incident i LEFT JOIN links ON i.id = links.u LEFT JOIN donor d ON i.id = d.survivor LEFT JOIN incident g ON g.id = d.loser
+    WHERE i.id NOT IN (SELECT loser FROM plan)""")
+def survivor_merge(a: Archive) -> DataFrame:
+    merged, _, _ = merge.merge_exact(a.incident, a.raw)
+    return merged.select("id", "source_count", "latitude", "longitude", "needs_enrichment")
+
+
+@query("relink_links", ("incident", "raw"), f"""
+    WITH {_PLAN}
+    SELECT raw.id, coalesce(survivor, unique_event_id) AS unique_event_id,
+      CASE WHEN survivor IS NOT NULL THEN 'matched' ELSE deduplication_status END AS deduplication_status
+    FROM raw LEFT JOIN plan ON unique_event_id = loser""")
+def relink_links(a: Archive) -> DataFrame:
+    plan = merge.plan_from_members(merge.exact_groups(a.incident))
+    return merge.relink(a.raw, plan).select("id", "unique_event_id", "deduplication_status")
+
+
+@query("merge_audit", ("incident", "raw"), f"""
+    WITH {_PLAN}
+    SELECT count(DISTINCT survivor) AS groups, count(*) AS events_merged,
+      (SELECT count(*) FROM raw JOIN plan ON unique_event_id = loser) AS records_relinked FROM plan""")
+def merge_audit(a: Archive) -> DataFrame:
+    _, _, audit = merge.merge_exact(a.incident, a.raw)
+    return merge.merge_totals(audit)
+
+
+@query("merge_by_ids", ("incident",), """
+    WITH asked AS (SELECT id AS survivor_id, id + 1 AS loser_id FROM incident WHERE id % 4 = 0)
+    SELECT loser_id, survivor_id, CASE WHEN loser_id IN (SELECT id FROM incident) THEN 'merge' ELSE 'loser_missing' END AS outcome FROM asked""")
+def merge_by_ids(a: Archive) -> DataFrame:
+    asked = a.incident.where(F.col("id") % 4 == 0).select(F.col("id").alias("survivor_id"), (F.col("id") + 1).alias("loser_id"))
+    plan, skipped = merge.plan_from_ids(a.incident, asked)
+    return plan.select("loser_id", "survivor_id", F.lit("merge").alias("outcome")).unionByName(
+        skipped.select("loser_id", "survivor_id", F.col("problem").alias("outcome"))
+    )
+
+
+@query("source_counts", ("incident", "raw"), """
+    SELECT i.id, CAST(count(r.id) AS INT) AS source_count FROM incident i LEFT JOIN raw r ON r.unique_event_id = i.id GROUP BY 1""")
+def source_counts(a: Archive) -> DataFrame:
+    return merge.refresh_source_counts(a.incident, a.raw).select("id", "source_count")
+
+
+# --- fusion -----------------------------------------------------------------------------------
+_VOTES = """
+    n AS (SELECT unique_event_id AS k, victim_count AS v, count(*) AS c FROM raw WHERE victim_count IS NOT NULL
+      AND unique_event_id IS NOT NULL GROUP BY 1, 2),
+    ni AS (SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY c DESC, v DESC) r FROM n) WHERE r = 1),
+    t AS (SELECT unique_event_id AS k, trim(city) AS v, count(*) AS c, min(id) AS f FROM raw WHERE trim(city) <> ''
+      AND unique_event_id IS NOT NULL GROUP BY 1, 2),
+    ti AS (SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY c DESC, f) r FROM t) WHERE r = 1)"""
+
+
+@query("majority_vote", ("raw",), f"""
+    WITH {_VOTES}
+    SELECT coalesce(ni.k, ti.k) AS unique_event_id, ni.v AS victim_count, ti.v AS city FROM ni FULL JOIN ti ON ni.k = ti.k""")
+def majority_vote(a: Archive) -> DataFrame:
+    return fusion.field_consensus(a.raw.where(F.col("unique_event_id").isNotNull()))
+
+
+@query("best_row", ("raw",), """
+    SELECT unique_event_id, id FROM (SELECT unique_event_id, id, row_number() OVER (PARTITION BY unique_event_id ORDER BY
+      CASE WHEN name IS NULL THEN 0 ELSE 1 END DESC, CASE WHEN neighborhood IS NULL THEN 0 ELSE 1 END DESC,
+      CASE WHEN event_date IS NULL THEN 0 ELSE 1 END DESC, created_at DESC, id) AS r FROM raw WHERE unique_event_id IS NOT NULL) WHERE r = 1""")
+def best_row(a: Archive) -> DataFrame:
+    linked = a.named_raw.where(F.col("unique_event_id").isNotNull())
+    return fusion.best_records(linked, "unique_event_id").select("unique_event_id", "id")
+
+
+@query("cluster_incidents", ("raw",), """
+    WITH b AS (SELECT *, row_number() OVER (PARTITION BY unique_event_id ORDER BY CASE WHEN name IS NULL THEN 0 ELSE 1 END DESC,
+        CASE WHEN neighborhood IS NULL THEN 0 ELSE 1 END DESC, CASE WHEN event_date IS NULL THEN 0 ELSE 1 END DESC,
+        created_at DESC, id) AS r, count(*) OVER (PARTITION BY unique_event_id) AS n FROM raw WHERE unique_event_id IS NOT NULL)
+    SELECT unique_event_id AS id, city, victim_count, title, CAST(n AS INT) AS source_count, content_class,
+      security_force_involved FROM b WHERE r = 1""")
+def cluster_incidents(a: Archive) -> DataFrame:
+    clustered = _raw_event(a).where(F.col("unique_event_id").isNotNull()).withColumn("cluster_id", F.col("unique_event_id"))
+    incidents, _ = fusion.incidents_from_clusters(clustered)
+    return incidents.select("id", "city", "victim_count", "title", "source_count", "content_class", "security_force_involved")
+
+
+def _raw_event(a: Archive) -> DataFrame:
+    """Records with every raw-event column incident creation reads."""
+    nothing = {c: F.lit(None).cast("string") for c in ("extraction_data", "date_precision", "time_of_day")}
+    numbers = {c: F.lit(None).cast("int") for c in ("identified_victim_count", "perpetrator_count")}
+    return a.named_raw.withColumns({**nothing, **numbers, "security_force_victim": F.lit(None).cast("boolean")})
+
+
+@query("fused_incidents", ("incident", "raw"), f"""
+    WITH {_VOTES}
+    SELECT i.id, coalesce(ni.v, i.victim_count) AS victim_count, coalesce(ti.v, i.city) AS city, 'Novo ' || i.title AS title,
+      FALSE AS needs_enrichment FROM incident i LEFT JOIN ni ON i.id = ni.k LEFT JOIN ti ON i.id = ti.k""")
+def fused_incidents(a: Archive) -> DataFrame:
+    synthesis = a.incident.select("id", F.concat(F.lit("Novo "), F.col("title")).alias("title"))
+    incidents = a.incident.withColumn("merged_data", F.lit(None).cast("string"))
+    records = _raw_event(a).where(F.col("unique_event_id").isNotNull())
+    return fusion.fuse(incidents, synthesis, records).select("id", "victim_count", "city", "title", "needs_enrichment")
+
+
+@query("public_field_derivation", ("raw",), """
+    SELECT id, CASE WHEN name IS NOT NULL AND l % 3 = 0 THEN TRUE WHEN name IS NOT NULL THEN FALSE END AS security_force_victim,
+      CASE WHEN l % 2 = 0 THEN 'facao a; facao b' END AS criminal_groups,
+      CASE WHEN l % 2 = 0 THEN TRUE END AS criminal_group_connected
+    FROM (SELECT id, name, id AS l FROM raw)""")
+def public_field_derivation(a: Archive) -> DataFrame:
+    victim = F.when(
+        F.col("name").isNotNull(),
+        F.array(F.struct(F.col("name").alias("name"), (F.col("id") % 3 == 0).alias("is_security_force"))),
+    ).otherwise(F.array().cast("array<struct<name:string,is_security_force:boolean>>"))
+    group = F.struct(
+        F.array(F.lit(" facao a "), F.lit(""), F.lit("facao b")).alias("groups"), F.lit("disputa").alias("activity")
+    )
+    record = F.to_json(F.struct(
+        F.struct(victim.alias("identifiable_victims")).alias("victims"),
+        F.struct(F.when(F.col("id") % 2 == 0, group).alias("criminal_group_context")).alias("homicide_dynamic"),
+    ))
+    parsed = a.raw.select("id", payload.parse(record).alias("r"))
+    fields = payload.public_fields(F.col("r"))
+    return parsed.withColumn("f", fields).select("id", "f.security_force_victim", "f.criminal_groups", "f.criminal_group_connected")
+
+
+# --- resolution pass and case building -----------------------------------------------------------
+@query("accepted_matches")
+def accepted_matches(a: Archive) -> DataFrame:
+    return candidates.accept_matches(_predictions(a), a.named_raw, a.named_incident, ORDERS_AS_OF)
+
+
+def _predictions(a: Archive) -> DataFrame:
+    """Model answers: every record is proposed the lowest incident of its day and city."""
+    first = a.incident.where(F.col("event_date").isNotNull()).groupBy("city", F.to_date("event_date").alias("day")).agg(
+        F.min("id").alias("unique_id")
+    )
+    confidence = (F.col("id") % 10).cast("double") / 10
+    return a.raw.withColumn("day", F.to_date("event_date")).join(first, ["city", "day"]).select(
+        F.col("id").alias("raw_id"), "unique_id", F.lit(True).alias("match"), confidence.alias("confidence")
+    )
+
+
+@query("resolution_pass")
+def resolution_pass(a: Archive) -> DataFrame:
+    _, _, summary = resolve.resolve_pending(
+        _raw_event(a), a.named_incident.withColumn("method_of_death", F.col("method_of_death")), ORDERS_AS_OF, _predictions(a)
+    )
+    return summary
+
+
+@query("match_cases")
+def match_cases(a: Archive) -> DataFrame:
+    records = a.named_raw.withColumn("description", F.col("chronological_description"))
+    incidents = a.incident.withColumnsRenamed({"victims_summary": "summary", "chronological_description": "description"})
+    return sampling.match_cases(records, incidents)
+
+
+@query("cluster_cases", ("raw",), """
+    WITH p AS (SELECT r.id AS case_id, u.id, u.unique_event_id AS label, row_number() OVER (PARTITION BY r.id ORDER BY u.id) AS n
+      FROM raw r JOIN raw u ON lower(r.city) = lower(u.city) AND r.unique_event_id <> u.unique_event_id
+        AND u.event_date BETWEEN r.event_date - INTERVAL 1 DAY AND r.event_date + INTERVAL 1 DAY),
+    m AS (SELECT case_id, id, label FROM p WHERE n <= 6
+      UNION ALL SELECT id, id, unique_event_id FROM raw WHERE unique_event_id IS NOT NULL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY id) AS member_no, count(*) OVER (PARTITION BY case_id) AS size FROM m)
+    SELECT case_id, id, label, member_no FROM k WHERE member_no <= 8 AND size > 1""")
+def cluster_cases(a: Archive) -> DataFrame:
+    return sampling.cluster_cases(a.raw)

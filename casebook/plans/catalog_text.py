@@ -198,10 +198,11 @@ def method_of_death(a: Archive) -> DataFrame:
       contains(t, 'corpo') AND m IS NULL AND NOT {any_sql('t', fixed.VIOLENT_WORDS)} AND {any_sql('t', fixed.SCANT_MARKERS)} AS insufficient
     FROM (SELECT id, t, {method_sql('t')} AS m FROM (SELECT id, {_T} AS t FROM article))""")
 def case_predicates(a: Archive) -> DataFrame:
-    t = corrections.source_text(F.col("content"), F.lit(None).cast("string"))
-    return a.article.select(
-        "id", corrections.method_unspecified(t).alias("unspecified"), corrections.qualified(t).alias("qualified"),
-        corrections.patrol_shootout(t).alias("patrol"), corrections.insufficient_case(t).alias("insufficient"),
+    t, m = F.col("t"), F.col("m")
+    rows = a.article.select("id", corrections.source_text(F.col("content"), F.lit(None).cast("string")).alias("t"))
+    return rows.withColumn("m", corrections.method_of_death(t)).select(
+        "id", corrections.method_unspecified(t, m).alias("unspecified"), corrections.qualified(t, m).alias("qualified"),
+        corrections.patrol_shootout(t).alias("patrol"), corrections.insufficient_case(t, m).alias("insufficient"),
     )
 
 
@@ -241,14 +242,10 @@ def record_corrections(a: Archive) -> DataFrame:
               '"date_time":{"date":"2024-03-09"},"location_info":{"city":"Natal"}}'),
         payload.schemas.EXTRACTION,
     )
-    none = F.lit(None).cast("string")
-    rows = a.article.withColumn("record", bare)
-    done = corrections.correct_record(
-        F.col("record"), F.col("content"), none, F.col("published_at"), F.col("publisher_name"), F.col("resolved_url")
-    )
-    return rows.select("id", done.alias("r")).select(
-        "id", F.col("r.event_family").alias("family"), F.col("r.event_subtype").alias("subtype"),
-        F.col("r.homicide_dynamic.method").alias("method"), F.col("r.victims.number_of_victims").alias("victims"),
+    rows = a.article.withColumns({"record": bare, "headline": F.lit(None).cast("string")})
+    return corrections.correct_records(rows).select(
+        "id", F.col("record.event_family").alias("family"), F.col("record.event_subtype").alias("subtype"),
+        F.col("record.homicide_dynamic.method").alias("method"), F.col("record.victims.number_of_victims").alias("victims"),
     )
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs are written for.  AQE splits skewed join partitions, picks
@@ -20,9 +23,23 @@ SETTINGS = {
 def apply_settings(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark.sparkContext)
     return spark
 
 
+def ship_package(context: SparkContext) -> None:
+    """Send this package's code to the executors, once per application."""
+    if getattr(context, "_casebook_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "casebook.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as bundle:
+        for source in sorted(root.rglob("*.py")):
+            bundle.write(source, Path(root.name) / source.relative_to(root))
+    context.addPyFile(str(archive))
+    context._casebook_shipped = True
+
+
 def _configured_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
