@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 from casebook import fixed
 
 
+@lru_cache(maxsize=65_536)
 def ratio(a: str, b: str) -> float:
     """2M/T over matching blocks; the order of arguments matters on long texts."""
     return SequenceMatcher(None, a, b).ratio()
 
 
+@lru_cache(maxsize=65_536)
 def reaches(a: str, b: str, threshold: float) -> bool:
     """ratio(a, b) >= threshold, with the cheap upper bounds tried first."""
     matcher = SequenceMatcher(None, a, b)

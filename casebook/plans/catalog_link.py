@@ -13,6 +13,7 @@ from casebook.operators.components import connected_components
 from casebook.plans.catalog_text import fold_sql
 from casebook.plans.registry import query
 from casebook.plans.standins import ORDERS_AS_OF, Archive
+from casebook.session import cut
 
 DAY_CITY = "CAST(event_date AS DATE)"
 
@@ -140,7 +141,7 @@ def components(a: Archive) -> DataFrame:
 def near_dup_native(a: Archive) -> DataFrame:
     from casebook.operators.filters import scan_scope
 
-    rows = neardup.features(a.named_incident.where(scan_scope()))
+    rows = cut(neardup.features(a.named_incident.where(scan_scope())))
     return connected_components(neardup.native_links(rows))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casebook import fixed
+from casebook.session import spread
 
 ORDERS_AS_OF = dt.datetime(2001, 8, 1)
 EVENTS_AS_OF = dt.datetime(2024, 1, 31)
@@ -248,7 +249,10 @@ class Archive:
 
     @cached_property
     def incident(self) -> DataFrame:
-        base = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        return self._incident(self.table("orders"))
+
+    def _incident(self, orders: DataFrame) -> DataFrame:
+        base = orders.join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         return base.selectExpr(*spark_exprs(INCIDENT))
 
     @cached_property
@@ -267,12 +271,12 @@ class Archive:
 
     @cached_property
     def article(self) -> DataFrame:
-        out = self.table("documents").selectExpr(*spark_exprs(ARTICLE))
+        out = spread(self.table("documents")).selectExpr(*spark_exprs(ARTICLE))
         return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("published_at", "updated_at")})
 
     @cached_property
     def headline(self) -> DataFrame:
-        return self.table("conversations").selectExpr(*spark_exprs(HEADLINE))
+        return spread(self.table("conversations")).selectExpr(*spark_exprs(HEADLINE))
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -292,6 +296,6 @@ class Archive:
         from casebook.functions.names import incident_names
 
         people = F.array().cast("array<struct<name:string>>")
-        return self.incident.withColumn("people", people).withColumn(
+        return self._incident(spread(self.table("orders"))).withColumn("people", people).withColumn(
             "names", incident_names(F.col("victims_summary"), F.col("people"))
         )

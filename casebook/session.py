@@ -61,3 +61,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise to reliable storage and drop the lineage (survives lost executors)."""
     ensure_checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a table read from very few files one partition per core.
+
+    For CPU-heavy expressions over small inputs only: a scan that already has
+    enough partitions is returned as it is, so nothing large is ever reshuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
