@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from casebook.operators import (
 from casebook.plans.catalog_text import any_sql, keyword_sql, low_sql, positive_sql
 from casebook.plans.registry import query
 from casebook.plans.standins import EVENTS_AS_OF, Archive
+from casebook.session import work_folder
 from casebook.streaming import ingest, state
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -677,9 +677,7 @@ def _stream(a: Archive, table: str) -> DataFrame:
 
 def _run(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """Drain a stream into files (never into driver memory) and read them back."""
-    folder = tempfile.mkdtemp(prefix="spark-") if stream.sparkSession.sparkContext.master.startswith("local") else (
-        f"{stream.sparkSession.conf.get('spark.checkpoint.dir')}/streams/{name}-{dt.datetime.now():%Y%m%d%H%M%S%f}"
-    )
+    folder = work_folder(stream.sparkSession, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")

@@ -249,10 +249,7 @@ class Archive:
 
     @cached_property
     def incident(self) -> DataFrame:
-        return self._incident(self.table("orders"))
-
-    def _incident(self, orders: DataFrame) -> DataFrame:
-        base = orders.join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        base = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         return base.selectExpr(*spark_exprs(INCIDENT))
 
     @cached_property
@@ -296,6 +293,6 @@ class Archive:
         from casebook.functions.names import incident_names
 
         people = F.array().cast("array<struct<name:string>>")
-        return self._incident(spread(self.table("orders"))).withColumn("people", people).withColumn(
+        return spread(self.incident, self.table("orders")).withColumn("people", people).withColumn(
             "names", incident_names(F.col("victims_summary"), F.col("people"))
         )

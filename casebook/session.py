@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,7 +29,11 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 
 
 def ship_package(context: SparkContext) -> None:
-    """Send this package's code to the executors, once per application."""
+    """Send this package's code to the executors, once per application.
+
+    The archive is built on the driver and served by it; executors read no
+    driver path.
+    """
     if getattr(context, "_casebook_shipped", False):
         return
     root = Path(__file__).resolve().parent
@@ -44,17 +49,24 @@ def _configured_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
-def ensure_checkpoint_folder(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; make one only for local runs."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a temporary one only for local runs."""
     folder = _configured_folder(spark)
     if folder is None:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
-    context.setCheckpointDir(folder)
+    return folder
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of its own under the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def ensure_checkpoint_folder(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -63,11 +75,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a table read from very few files one partition per core.
+def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
+    """Give rows read from very few files one partition per core.
 
-    For CPU-heavy expressions over small inputs only: a scan that already has
-    enough partitions is returned as it is, so nothing large is ever reshuffled.
+    For CPU-heavy expressions over small inputs only: when the scan (by default
+    `df` itself) already has enough partitions, `df` is returned as it is, so
+    nothing large is ever reshuffled.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = (df if scan is None else scan).rdd.getNumPartitions()
+    return df if parts >= cores else df.repartition(cores)

@@ -190,3 +190,44 @@ def test_round_robin_is_balanced_and_seeded(spark):
     assert len(picked) == 12
     assert {r["s"] for r in picked} == {"big", "s90", "s91", "s92", "s93", "s94"}
     assert picked == ranking.round_robin(df, "s", 12).collect()
+
+
+def test_stream_resolution_regroups_touched_buckets(spark):
+    from casebook.streaming import resolve
+
+    ddl = ("id long, title string, city string, event_date timestamp_ntz, neighborhood string, victims_summary string, "
+           "chronological_description string, people array<struct<name:string>>, source_count int, content_class string")
+    day = dt.datetime(2024, 1, 1)
+    rows = [(1, "Morte no centro", "Natal", day, None, None, None, [], 1, None), (2, "Morte no centro", "natal", day, None, None, None, [], 3, None),
+            (3, "Morte no centro", "Recife", day, None, None, None, [], 1, None), (4, "Morte no centro", "Recife", day, None, None, None, [], 1, None)]
+    incidents = spark.createDataFrame(rows, ddl)
+    seen = []
+    run = resolve.resolver(lambda: incidents, lambda members, _: seen.extend(members.collect()))
+    run(incidents.where("id = 1"), 0)
+    assert {(r["id"], r["survivor_id"]) for r in seen} == {(1, 2), (2, 2)}
+
+
+def test_resolution_pass_matches_then_clusters(spark):
+    from casebook.operators import resolve
+
+    day = dt.datetime(2024, 1, 1)
+    ddl = "id long, unique_event_id long, deduplication_status string, city string, state string, neighborhood string, event_date timestamp_ntz, title string, " \
+          "chronological_description string, names array<string>, homicide_type string, event_family string, event_subtype string, content_class string, " \
+          "method_of_death string, date_precision string, time_of_day string, victim_count int, identified_victim_count int, perpetrator_count int, " \
+          "security_force_involved boolean, security_force_victim boolean, extraction_data string, created_at timestamp_ntz"
+
+    def raw(i, title, names):
+        return (i, None, "pending", "Natal", "RN", None, day, title, None, names, "Homicídio", None, None, "incident", None, None, None, 1, None, None, None, None, None, day)
+
+    records = spark.createDataFrame([raw(1, "Morte no centro", []), raw(2, "Briga em bar", ["ana lima"]), raw(3, "Outro caso", ["ana lima"])], ddl)
+    incidents = spark.createDataFrame(
+        [(100, "Morte no centro", "Natal", day, None, None, None, [], [], 1, "incident", False)],
+        "id long, title string, city string, event_date timestamp_ntz, neighborhood string, victims_summary string, chronological_description string, "
+        "people array<struct<name:string>>, names array<string>, source_count int, content_class string, needs_enrichment boolean")
+    matches = spark.createDataFrame([(1, 100, True, 0.9), (2, 100, True, 0.3)], "raw_id long, unique_id long, match boolean, confidence double")
+    linked, merged, summary = resolve.resolve_pending(records, incidents, day, matches)
+    assert {r["id"]: (r["unique_event_id"], r["deduplication_status"]) for r in linked.collect()} == {
+        1: (100, "matched"), 2: (2, "clustered"), 3: (2, "clustered"),
+    }
+    assert {r["id"]: r["source_count"] for r in merged.collect()} == {100: 2, 2: 2}
+    assert {r["step"]: r["rows"] for r in summary.collect()} == {"matched_to_existing": 1, "incidents_created": 1, "groups": 1, "near_merged": 0}
