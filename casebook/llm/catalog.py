@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from casebook.llm import checks, mixing, packing, quality, secrets, simhash
+from casebook.llm import checks, html, mixing, packing, quality, secrets, simhash, topk, urls, warc
 from casebook.session import apply_settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,16 +31,34 @@ def op3_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(_table(spark, folder, "pages"))
+
+
+def op5_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, folder, "documents")))
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.derive(warc.responses(_table(spark, folder, "pages")))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op10_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.main_text(_table(spark, folder, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_pack, op2_quality_rules, op3_mix, op6_secrets, op9_simhash)}
+    return {q.__name__: q for q in (
+        op1_pack, op2_quality_rules, op3_mix, op4_url_filter, op5_topk, op6_secrets, op8_warc, op9_simhash, op10_html,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -146,3 +146,67 @@ def check_packing(docs, rows, ids_of, window=2048):
         total += at
         padded += 0 if at & (at - 1) == 0 else window - at
     return padded / max(1, padded + total)
+
+
+RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def url_parts(url):
+    """host, path and the rule that decides."""
+    if url is None or "://" not in url:
+        host = path = ""
+    else:
+        rest = url.split("://", 1)[1]
+        host = lower(re.split("[/?#]", rest)[0])
+        path = re.split("[?#]", rest[len(host) :])[0]
+    fits = [r for r in RULES if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+    best = max(fits, key=lambda r: len(r[0] + r[1]), default=None)
+    return host, path, best[0] + best[1] if best else None, best[2] if best else None
+
+
+def top_scores(rows, k=5):
+    """(query id, rank, id, score) from (vec_id, vector); ids are distinct here."""
+    import math
+
+    sound = {
+        i: [math.floor(256 * float(x)) for x in v] for i, v in rows
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    }
+    out = []
+    for q in sorted(sound):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(sound[q], sound[c], strict=False)), c) for c in sound if c != q)
+            out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scored[:k])]
+    return out
+
+
+def article_text(html):
+    """Text of the article element of the test pages, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.inside = True
+            if tag in ("p", "h1", "br", "article"):
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            if tag == "article":
+                self.inside = False
+            if tag in ("p", "h1", "article"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    reader = Reader()
+    reader.feed(html or "")
+    reader.close()
+    blocks = (" ".join(b.split()) for b in reader.blocks)
+    return " ".join(b for b in blocks if b)
