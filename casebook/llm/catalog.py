@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import checks, html, mixing, packing, quality, secrets, simhash, topk, urls, warc
+from casebook.llm import checks, html, lm, mixing, packing, quality, secrets, simhash, topk, urls, warc
 from casebook.session import apply_settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, folder, "documents")))
 
 
+def op7_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(_table(spark, folder, "documents"))
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.derive(warc.responses(_table(spark, folder, "pages")))
 
@@ -57,7 +61,7 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
-        op1_pack, op2_quality_rules, op3_mix, op4_url_filter, op5_topk, op6_secrets, op8_warc, op9_simhash, op10_html,
+        op1_pack, op2_quality_rules, op3_mix, op4_url_filter, op5_topk, op6_secrets, op7_lm_score, op8_warc, op9_simhash, op10_html,
     )}
 
 

@@ -1,14 +1,13 @@
 """Subword ids of whole texts, through a cache of words.
 
-The vocabularies used here never join ids across white space, so a text's ids
-are those of its words one after another.  Each task keeps the ids of the words
-it has met; new words of a batch are encoded in one call, separated by a token
-of their own.
+No id spans white space, so a text's ids are those of its words one after
+another.  The ids of words met before are kept; new words are encoded once.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +54,12 @@ class WordTokenizer:
 
     def _learn_some(self, words: list[bytes]) -> None:
         mark = SEPARATOR.encode()
-        plain = [w for w in words if mark not in w]
+        plain = []
         for w in words:
             if mark in w:
                 self.cache[w] = self._ids(w.decode())
+            else:
+                plain.append(w)
         ids = np.frombuffer(self._ids(mark.join(plain).decode()), "<u4")
         cuts = np.flatnonzero(ids == self.separator)
         raw = ids.tobytes()
@@ -68,3 +69,48 @@ class WordTokenizer:
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+class ByteTokenizer:
+    """Byte-level ids of words, each taken with a space before it; the id after the last is free for an end mark."""
+
+    def __init__(self, vocabulary: str, cache_words: int = CACHE_WORDS):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(vocabulary, "rb") as lines:
+            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.end = len(ranks)
+        self.size = len(ranks) + 1
+        self.starts_word = [0] * self.size
+        for piece, rank in ranks.items():
+            self.starts_word[rank] = int(piece.startswith(b" "))
+        self.starts_word[self.end] = 1
+        self.cache: dict[bytes, bytes] = {}
+        self.cache_words = cache_words
+
+    def encode_words(self, words: list[bytes]) -> bytes:
+        cache = self.cache
+        try:
+            return b"".join([cache[w] for w in words])
+        except KeyError:
+            for w in words:
+                if w not in cache:
+                    cache[w] = array("I", self.encoding.encode_ordinary(" " + w.decode())).tobytes()
+            ids = b"".join([cache[w] for w in words])
+            if len(cache) > self.cache_words:
+                cache.clear()
+            return ids
+
+
+_SHARED: dict[str, ByteTokenizer] = {}
+
+
+def shared_tokenizer(vocabulary: str) -> ByteTokenizer:
+    """One tokenizer per process and vocabulary, so that tasks of a worker share what it has learnt."""
+    if vocabulary not in _SHARED:
+        _SHARED[vocabulary] = ByteTokenizer(vocabulary)
+    return _SHARED[vocabulary]

@@ -210,3 +210,20 @@ def article_text(html):
     reader.close()
     blocks = (" ".join(b.split()) for b in reader.blocks)
     return " ".join(b for b in blocks if b)
+
+
+def unigram(docs):
+    """doc_id -> (held_out, n_tokens, n_known, train_tokens, base_score) from (doc_id, text); ids are distinct."""
+    import math
+
+    held = lambda d: d is not None and binascii.crc32(str(d).encode()) % 10 == 0
+    tokens = {d: [*words(lower(t)), None] for d, t in docs}
+    counts = Counter()
+    for d, own in tokens.items():
+        if not held(d):
+            counts.update(own)
+    n, v = sum(counts.values()), len(counts)
+    return {
+        d: (held(d), len(own), sum(counts[t] > 0 for t in own), n, sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in own))
+        for d, own in tokens.items()
+    }
