@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casebook.llm.common import word_count
+from casebook.llm.common import stored, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -106,27 +106,31 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     )
 
 
-def plan(docs: DataFrame, carry: list[Column]) -> DataFrame:
-    """One row per document with `carry`, size, source_size, target, copies, taken and position.
+def sized(docs: DataFrame, *carry: str) -> DataFrame:
+    return docs.select(*carry, F.col("doc_id").alias("id"), F.col("source"), word_count(F.col("text")).alias("size"))
 
-    copies is how often the mix takes the document; position that of its first
-    copy (null if none); epoch_shares the demand shares of all copies.
+
+def _order_key() -> Column:
+    return F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
+
+
+def plan(documents: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of `documents` (from `sized`) with source_size, target, copies, taken and positions of the copies.
+
+    `sizes` holds the same rows without carried columns, stored: totals are made from it.
     """
-    sized = docs.select(*carry, F.col("doc_id").alias("_id"), F.col("source"), word_count(F.col("text")).alias("size"))
-    narrow = docs.select("source", "doc_id", word_count(F.col("text")).alias("size"))
-    order_key = F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")))
-    sources = targets(narrow)
-    keyed = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(
+    sources = targets(sizes)
+    keyed = documents.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(
         "d.*", "source_rank", "schedule", "source_size", "target",
-    ).withColumn("order_key", order_key).withColumn("slot", F.substring("order_key", 1, SLOT_DIGITS))
-    slots = narrow.withColumn("slot", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, SLOT_DIGITS))
-    sums = slots.groupBy("source", "slot").agg(F.sum("size").alias("slot_size")).alias("t").join(
-        sources.select("source", F.col("source_rank").alias("r")).alias("u"),
-        F.col("t.source").eqNullSafe(F.col("u.source")),
+    ).withColumn("order_key", _order_key()).withColumn("slot", F.substring("order_key", 1, SLOT_DIGITS))
+    sums = sizes.withColumn("slot", F.substring(_order_key(), 1, SLOT_DIGITS)).groupBy("source", "slot").agg(
+        F.sum("size").alias("slot_size")
+    ).alias("t").join(
+        sources.select("source", F.col("source_rank").alias("r")).alias("u"), F.col("t.source").eqNullSafe(F.col("u.source")),
     ).select(F.col("r").alias("source_rank"), "slot", "slot_size")
     earlier = Window.partitionBy("source_rank").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source_rank", "slot", F.coalesce(F.sum("slot_size").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source_rank", "slot").orderBy("order_key", "_id", "size").rowsBetween(
+    inside = Window.partitionBy("source_rank", "slot").orderBy("order_key", "id", "size").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     placed = keyed.join(offsets, ["source_rank", "slot"]).withColumn(
         "middle", F.col("offset") + F.sum("size").over(inside) - F.col("size") / 2)
@@ -136,9 +140,8 @@ def plan(docs: DataFrame, carry: list[Column]) -> DataFrame:
     copies = F.when(F.col("size") == 0, taken[0].cast("int")).otherwise(copies)
     counted = placed.withColumn("copies", copies).withColumn(
         "positions", F.slice(F.array(*[_position(share(e)) for e in range(MAX_EPOCHS)]), F.lit(1), F.col("copies")))
-    names = [c for c in sized.columns if c not in ("_id", "source", "size")]
     return counted.select(
-        *names, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "positions",
+        *documents.columns, "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "positions",
     )
 
 
@@ -152,15 +155,16 @@ def _position(share: Column) -> Column:
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies and first position, sorted by position."""
-    planned = plan(docs, [F.col("doc_id")])
-    return planned.select(
-        "doc_id", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("position"),
+    sizes = stored(sized(docs), "mix-sizes")
+    return plan(sizes, sizes).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies",
+        F.get("positions", F.lit(0)).alias("position"),
     ).sort(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def training_order(docs: DataFrame) -> DataFrame:
     """The mix as documents: one row per copy taken, with all columns, in training order."""
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")
-    planned = plan(rows, [F.col("row")])
+    planned = plan(sized(rows, "row"), stored(sized(docs), "mix-sizes"))
     copies = planned.select("row", F.explode("positions").alias("position"))
     return copies.sort("position").select("row.*")
