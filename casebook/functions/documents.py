@@ -121,7 +121,7 @@ def fusion_document(state: Column, sources: Column) -> Column:
             F.lit("\n"), (i + 1).cast("string"), F.lit(". Fonte: "), _or(s["publisher"], "Desconhecida"),
             F.lit("\n   Manchete: "), _or(s["headline"], "N/A"),
             F.lit("\n   URL: "), _or(s["url"], "N/A"),
-            F.lit("\n   Conteúdo: "), F.substring(F.coalesce(s["content"], F.lit("")), 1, 1000), F.lit("...\n"),
+            F.lit("\n   Conteúdo: "), F.coalesce(s["content"], F.lit("")), F.lit("\n"),
         ),
     )
     return F.concat(

@@ -10,14 +10,14 @@ from casebook import fixed
 
 @lru_cache(maxsize=65_536)
 def ratio(a: str, b: str) -> float:
-    """2M/T over matching blocks; the order of arguments matters on long texts."""
-    return SequenceMatcher(None, a, b).ratio()
+    """2M/T over matching blocks, on all letters whatever the length of the texts."""
+    return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
 @lru_cache(maxsize=65_536)
 def reaches(a: str, b: str, threshold: float) -> bool:
     """ratio(a, b) >= threshold, with the cheap upper bounds tried first."""
-    matcher = SequenceMatcher(None, a, b)
+    matcher = SequenceMatcher(None, a, b, autojunk=False)
     if matcher.real_quick_ratio() < threshold or matcher.quick_ratio() < threshold:
         return False
     return matcher.ratio() >= threshold

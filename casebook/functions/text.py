@@ -170,14 +170,14 @@ def article_rule(text: Column, rules: list[tuple[str, str, str]] = fixed.ARTICLE
 
 
 def rule_snippet(text: Column, rule: Column, rules: list[tuple[str, str, str]] = fixed.ARTICLE_RULES) -> Column:
-    """Text around the rule's first match: 20 before, 40 after, at most 200."""
+    """Text around the rule's first match: 20 letters before, 40 after."""
     out = None
     for _, name, pattern in rules:
         regex = F.lit("(?iUd)" + pattern)
         start = F.regexp_instr(text, regex)
         length = F.length(F.regexp_substr(text, regex))
         begin = F.greatest(F.lit(1), start - 20)
-        snippet = F.substring(F.trim(F.substring(text, begin, start + length + 40 - begin)), 1, 200)
+        snippet = F.trim(F.substring(text, begin, start + length + 40 - begin))
         hit = rule == F.lit(name)
         out = F.when(hit, snippet) if out is None else out.when(hit, snippet)
     return out

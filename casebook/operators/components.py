@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from casebook.session import cut
 
-MAX_ROUNDS = 60
-
 
 def connected_components(edges: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
     """(id, component): component is the smallest id of the connected group.
@@ -26,15 +24,12 @@ def connected_components(edges: DataFrame, a: str = "id_a", b: str = "id_b") ->
         edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     )
     before = _signature(current)
-    for _ in range(MAX_ROUNDS if before[0] else 0):
+    while before[0]:
         current = cut(_small_star(_large_star(current)))
         after = _signature(current)
         if after == before:
             break
         before = after
-    else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = current.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return current.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 

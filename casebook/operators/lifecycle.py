@@ -163,7 +163,7 @@ def content_gate(articles: DataFrame, predictions: DataFrame, rules: list = fixe
         F.when(ruled | rejected, "discarded").when(F.col("p").isNull(), "failure").otherwise("success").alias("outcome"),
         F.when(ruled, class_reason(F.col("rule.hint"))).when(rejected, "llm_content_reject")
         .when(F.col("p").isNull(), "llm_unknown").alias("failure_reason"),
-        F.substring(F.when(ruled, by_rule).when(rejected, by_model), 1, 500).alias("reasoning"),
+        F.when(ruled, by_rule).when(rejected, by_model).alias("reasoning"),
     )
 
 
@@ -183,7 +183,7 @@ def extraction_step(results: DataFrame) -> DataFrame:
         .otherwise("extracted").alias("status"),
         F.when(failed, reason).when(other, class_reason(F.col("content_class"))).alias("failure_reason"),
         F.when(failed & (reason == "validation_error"),
-               F.concat(F.lit("Extraction validation failed: "), F.substring("error_message", 1, 500)))
+               F.concat(F.lit("Extraction validation failed: "), F.col("error_message")))
         .when(~failed & other, F.concat(F.lit("Extraction content_class="), F.col("content_class"))).alias("reasoning"),
     )
 

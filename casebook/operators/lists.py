@@ -39,18 +39,22 @@ def map_points(df: DataFrame) -> DataFrame:
     )
 
 
-def admin_map(df: DataFrame, start: dt.datetime | None = None, end: dt.datetime | None = None, limit: int = 1000) -> DataFrame:
-    """Admin map points within a date range, newest first."""
+def admin_map(df: DataFrame, start: dt.datetime | None = None, end: dt.datetime | None = None, limit: int | None = None) -> DataFrame:
+    """Admin map points within a date range, newest first; all of them unless a limit is asked for."""
     rows = df.where(F.col("latitude").isNotNull() & filters.incident_filter(start=start, end=end))
     return (
-        rows.orderBy(F.col("event_date").desc_nulls_last(), "id")
-        .limit(limit)
+        first(rows.orderBy(F.col("event_date").desc_nulls_last(), "id"), limit)
         .select("id", "event_date", "homicide_type", "city", "state", "victim_count", "title",
                 F.col("latitude").cast("double").alias("latitude"),
                 F.col("longitude").cast("double").alias("longitude"))
     )
 
 
+def first(ordered: DataFrame, n: int | None) -> DataFrame:
+    """The first n rows, or all of them."""
+    return ordered if n is None else ordered.limit(n)
+
+
 def export_columns(requested: list[str] | None) -> list[str]:
     """Allowed export columns in the asked order; unknown names are dropped."""
     if not requested:
@@ -61,8 +65,11 @@ def export_columns(requested: list[str] | None) -> list[str]:
     return chosen
 
 
-def export_rows(df: DataFrame, condition: Column, columns: list[str] | None = None, cap: int = fixed.EXPORT_MAX_ROWS) -> DataFrame:
-    """Newest rows first, at most the export cap, only the chosen columns."""
+def export_rows(df: DataFrame, condition: Column, columns: list[str] | None = None, cap: int | None = None) -> DataFrame:
+    """Newest rows first, only the chosen columns; all rows unless a cap is asked for.
+
+    Without a cap the sort is by range, so the export is written by many tasks.
+    """
     names = [c for c in export_columns(columns) if c in df.columns]
 
     def shown(name: str) -> Column:
@@ -71,11 +78,13 @@ def export_rows(df: DataFrame, condition: Column, columns: list[str] | None = No
         return F.col(name)
 
     ordered = df.where(condition).orderBy(F.col("event_date").desc(), F.col("id").desc())
-    return ordered.limit(cap).select(*[shown(c) for c in names])
+    return first(ordered, cap).select(*[shown(c) for c in names])
 
 
-def export_truncated(df: DataFrame, condition: Column, cap: int = fixed.EXPORT_MAX_ROWS) -> DataFrame:
-    """One row: exported count and whether the cap cut rows off (reads cap + 1)."""
+def export_truncated(df: DataFrame, condition: Column, cap: int | None = None) -> DataFrame:
+    """One row: exported count and whether a cap cut rows off (reads cap + 1)."""
+    if cap is None:
+        return df.where(condition).agg(F.count("*").alias("exported"), F.lit(False).alias("truncated"))
     probe = df.where(condition).select("id").limit(cap + 1)
     return probe.agg(
         F.least(F.count("*"), F.lit(cap)).alias("exported"), (F.count("*") > cap).alias("truncated")
@@ -127,9 +136,9 @@ def place_search(places: DataFrame, text: str, k: int = 8) -> DataFrame:
     )
 
 
-def capped(df: DataFrame, n: int) -> DataFrame:
-    """First n rows by id: the map and scatter limits made deterministic."""
-    return df.orderBy("id").limit(n)
+def capped(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Rows by id, the first n if asked for."""
+    return first(df.orderBy("id"), n)
 
 
 def first_per_kind(df: DataFrame, kind: str, order: str, n: int = 10) -> DataFrame:
@@ -138,35 +147,28 @@ def first_per_kind(df: DataFrame, kind: str, order: str, n: int = 10) -> DataFra
     return ranked.where(F.col("rank") <= n)
 
 
-def work_queue(df: DataFrame, condition: Column, order: list[Column], n: int) -> DataFrame:
-    """Next n work items in the stage's order."""
-    return df.where(condition).orderBy(*order).limit(n)
+def work_queue(df: DataFrame, condition: Column, order: list[Column], n: int | None = None) -> DataFrame:
+    """Work items in the stage's order, the next n if asked for."""
+    return first(df.where(condition).orderBy(*order), n)
 
 
-def reclassify_candidates(sources: DataFrame, limit: int = 500, since: dt.datetime | None = None, signal: str = "all") -> DataFrame:
+def reclassify_candidates(sources: DataFrame, limit: int | None = None, since: dt.datetime | None = None, signal: str = "all") -> DataFrame:
     """Discarded rows worth another look, newest first, with their target queue.
 
-    The newest limit * 5 discarded rows are looked at, as the report defines.
+    All discarded rows are looked at; a limit cuts the result, not the search.
     """
     scope = (F.col("status") == "discarded") & F.col("headline").isNotNull()
     if since is not None:
         scope = scope & (F.col("updated_at") >= filters.ntz(since))
     newest = [F.col("updated_at").desc(), F.col("id")]
-    return (
-        sources.where(scope)
-        .orderBy(*newest)
-        .limit(limit * 5)
-        .where(filters.reclassify_signal(signal))
-        .withColumn("target_status", filters.requeue_target())
-        .orderBy(*newest)
-        .limit(limit)
-    )
+    found = sources.where(scope & filters.reclassify_signal(signal)).withColumn("target_status", filters.requeue_target())
+    return first(found.orderBy(*newest), limit)
 
 
 def incident_articles(records: DataFrame, sources: DataFrame, fallback_title: Column | None = None) -> DataFrame:
     """Articles of each incident: distinct linked sources, and a stand-in row for
     records that carry no source id.  A dangling source id yields nothing.
-    Sorted per incident: undated articles first, then newest first.
+    Rows come in no order; a page of them sorts by incident and date.
     """
     records = records.where(F.col("unique_event_id").isNotNull())
     linked = (
@@ -189,6 +191,4 @@ def incident_articles(records: DataFrame, sources: DataFrame, fallback_title: Co
         F.col("event_date").alias("published_at"),
         F.lit("raw_fallback").alias("kind"),
     )
-    return linked.unionByName(orphan).orderBy(
-        "unique_event_id", F.col("published_at").desc_nulls_first(), "id"
-    )
+    return linked.unionByName(orphan)

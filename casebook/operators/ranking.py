@@ -89,14 +89,18 @@ def attempt_numbers(attempts: DataFrame, grain: str = "hour") -> DataFrame:
 def round_robin(df: DataFrame, stratum: str, n: int, seed: int = 42, id_col: str = "id") -> DataFrame:
     """Seeded stratified sample: one per stratum per pass until n rows are taken.
 
+    The order is that of md5('seed:value'), for rows and for strata.
+
     No stratum can contribute more than n rows, so ranks above n are cut map-side.
     """
-    shuffled = F.xxhash64(F.lit(seed), F.col(id_col))
-    turn = F.row_number().over(Window.partitionBy(stratum).orderBy(shuffled, id_col))
+    def shuffled(column: str) -> Column:
+        return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(column).cast("string"), F.lit(""))))
+
+    turn = F.row_number().over(Window.partitionBy(stratum).orderBy(shuffled(id_col), id_col))
     return (
         df.withColumn("turn", turn)
         .where(F.col("turn") <= n)
-        .orderBy("turn", F.xxhash64(F.lit(seed), F.col(stratum)), id_col)
+        .orderBy("turn", shuffled(stratum), id_col)
         .limit(n)
     )
 

@@ -157,7 +157,12 @@ def near_dup_pairs(a: Archive) -> DataFrame:
     return pairs
 
 
-@query("largest_duplicate_groups")
+@query("largest_duplicate_groups", ("incident",), f"""
+    SELECT group_id, survivor_id, size FROM (
+      SELECT min(id) AS group_id, count(*) AS size, arg_max(id, (source_count, -id)) AS survivor_id
+      FROM (SELECT id, coalesce(source_count, 1) AS source_count, {fold_sql('title')} AS t, {fold_sql('city')} AS c, {DAY_CITY} AS d FROM incident)
+      WHERE t <> '' AND c <> '' AND d IS NOT NULL GROUP BY t, c, d HAVING count(*) > 1)
+    ORDER BY size DESC, group_id LIMIT 15""")
 def largest_duplicate_groups(a: Archive) -> DataFrame:
     groups = merge.exact_groups(a.incident).select("group_id", "survivor_id", "size").distinct()
     return ranking.largest_groups(groups)

@@ -88,13 +88,11 @@ _STORED = "coalesce(is_violent_death, FALSE)"
 
 @query("reclassify_candidates", ("source",), f"""
     SELECT id, CASE WHEN {_STORED} THEN 'ready_for_download' ELSE 'ready_for_classification' END AS target_status FROM (
-      SELECT *, {low_sql('headline')} AS t FROM (SELECT * FROM source WHERE status = 'discarded' AND headline IS NOT NULL
-        ORDER BY updated_at DESC, id LIMIT 2500))
-    WHERE {_STORED} OR {keyword_sql('headline', fixed.DEATH_KEYWORDS)} OR {positive_sql('t')}
-    ORDER BY updated_at DESC, id LIMIT 500""")
+      SELECT *, {low_sql('headline')} AS t FROM source WHERE status = 'discarded' AND headline IS NOT NULL)
+    WHERE {_STORED} OR {keyword_sql('headline', fixed.DEATH_KEYWORDS)} OR {positive_sql('t')}""")
 def reclassify_candidates(a: Archive) -> DataFrame:
     sources = a.source.withColumn("content", F.lit(None).cast("string"))
-    return lists.reclassify_candidates(sources, 500).select("id", "target_status")
+    return lists.reclassify_candidates(sources).select("id", "target_status")
 
 
 @query("reclassify_signals", ("source",), f"""
@@ -511,47 +509,75 @@ def merged_cases(a: Archive) -> DataFrame:
 
 
 # --- samples and checks -------------------------------------------------------------------------------------
-@query("stratified_sample")
+def _sample(rows: str, n: int, columns: str = "id, stratum, turn") -> str:
+    """Checking SQL of a seeded stratified sample of `rows` (with id and stratum)."""
+    return f"""
+    SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || id), id) AS turn FROM ({rows}))
+    ORDER BY turn, md5('42:' || coalesce(stratum, '')), id LIMIT {n}"""
+
+
+def _bucket(chars: str) -> str:
+    return f"CASE WHEN {chars} < 2000 THEN 'short' WHEN {chars} <= 10000 THEN 'medium' ELSE 'long' END"
+
+
+_USABLE = "content IS NOT NULL AND length(trim(content)) > {}"
+
+
+@query("stratified_sample", ("source",), _sample("SELECT id, publisher_name AS stratum FROM source", 200))
 def stratified_sample(a: Archive) -> DataFrame:
     return ranking.round_robin(a.source.withColumn("stratum", F.col("publisher_name")), "stratum", 200).select("id", "stratum", "turn")
 
 
-@query("failed_download_sample")
+@query("failed_download_sample", ("source",), _sample("""
+      SELECT id, coalesce(regexp_extract(resolved_url, '^https://www[.]([^/]+)/', 1), 'unknown') AS stratum
+      FROM source WHERE status = 'failed_in_download'""", 100))
 def failed_download_sample(a: Archive) -> DataFrame:
     return sampling.download_failures(a.source, 100).select("id", "stratum", "turn")
 
 
-@query("failed_extraction_sample")
+@query("failed_extraction_sample", ("article",), _sample(f"""
+      SELECT id, {_bucket("length(content)")} || '|' || coalesce(publisher_name, 'unknown') AS stratum
+      FROM article WHERE status = 'failed_in_extraction' AND content IS NOT NULL""", 60))
 def failed_extraction_sample(a: Archive) -> DataFrame:
     return sampling.extraction_failures(a.article, 60).select("id", "stratum", "turn")
 
 
-@query("classification_case_sample")
+@query("classification_case_sample", ("source",), "SELECT 'classification-' || id AS case_id, headline, is_violent_death AS expected FROM (" + _sample("""
+      SELECT id, headline, is_violent_death, CASE WHEN is_violent_death THEN 'positive' ELSE 'negative' END || '|' || status AS stratum
+      FROM source WHERE headline IS NOT NULL AND is_violent_death IS NOT NULL""", 60, "*") + ")")
 def classification_case_sample(a: Archive) -> DataFrame:
-    return sampling.classification_cases(a.source, 60).withColumn("tags", F.array_join("tags", ","))
+    return sampling.classification_cases(a.source, 60).drop("tags")  # headline_tags checks the tags
 
 
-@query("gate_case_sample")
+@query("gate_case_sample", ("article",), _sample(f"""
+      SELECT id, status = 'extracted' AS expected, length(content) AS chars,
+        CASE WHEN status = 'extracted' THEN 'true' ELSE 'false' END || '|' || {_bucket("length(content)")} AS stratum
+      FROM article WHERE {_USABLE.format(200)} AND status IN ('extracted', 'discarded')""", 40, "id, expected, chars"))
 def gate_case_sample(a: Archive) -> DataFrame:
     sources = a.article.withColumn("headline", F.lit(None).cast("string"))
     return sampling.gate_cases(sources, 40).select("id", "expected", F.length("content").alias("chars"))
 
 
-@query("extraction_case_sample")
+@query("extraction_case_sample", ("raw", "article"), _sample(f"""
+      SELECT r.id, coalesce(r.homicide_type, '?') || '|' || {_bucket("length(a.content)")} AS stratum
+      FROM raw r JOIN article a ON r.source_google_news_id = a.id WHERE r.extraction_success AND {_USABLE.format(200)}""", 40))
 def extraction_case_sample(a: Archive) -> DataFrame:
     sources = a.article.withColumn("headline", F.lit(None).cast("string"))
     return sampling.extraction_cases(a.raw, sources, 40).select("id", "stratum", "turn")
 
 
-@query("enrichment_case_sample")
+@query("enrichment_case_sample", ("incident", "raw", "article"), _sample(f"""
+      SELECT i.id, articles, coalesce(i.state, '?') AS stratum FROM incident i JOIN (
+        SELECT unique_event_id AS id, count(*) AS articles FROM raw
+        WHERE source_google_news_id IN (SELECT id FROM article WHERE {_USABLE.format(500)}) GROUP BY 1 HAVING count(*) > 1) USING (id)""",
+    40, "id, stratum, articles"))
 def enrichment_case_sample(a: Archive) -> DataFrame:
     return sampling.enrichment_cases(a.incident, a.raw, a.article, 40).select("id", "stratum", "articles")
 
 
-@query("label_distribution")
+@query("label_distribution", (), "SELECT lang, count(*) AS count FROM documents WHERE length(text) >= 50 GROUP BY 1")
 def label_distribution(a: Archive) -> DataFrame:
-    documents = a.table("documents").withColumnRenamed("doc_id", "id")
-    return sampling.label_distribution(documents, "text", "lang", 200)
+    return sampling.label_distribution(a.table("documents"), "text", "lang")
 
 
 @query("quality_violations", ("incident",), """
@@ -629,12 +655,14 @@ def table_reconciliation(a: Archive) -> DataFrame:
 
 
 @query("attempt_log", ("attempt",), """
-    SELECT id, stage, length(substr(repeat(stage, 300), 1, 1000)) AS detail_length FROM attempt""")
+    SELECT id, stage, length(repeat(stage, 300)) AS detail_length FROM attempt""")
 def attempt_log(a: Archive) -> DataFrame:
-    from casebook.sources.exports import clipped_attempts
+    from casebook.session import work_folder
+    from casebook.sources.exports import append_attempts
 
-    long = a.attempt.withColumn("failure_detail", F.repeat(F.col("stage"), F.lit(300)))
-    return clipped_attempts(long).select("id", "stage", F.length("failure_detail").alias("detail_length"))
+    folder = work_folder(a.spark, "attempts")
+    append_attempts(a.attempt.withColumn("failure_detail", F.repeat(F.col("stage"), F.lit(300))), folder)
+    return a.spark.read.parquet(folder).select("id", "stage", F.length("failure_detail").alias("detail_length"))
 
 
 @query("snapshot_window", ("incident",), """

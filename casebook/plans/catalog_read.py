@@ -413,8 +413,7 @@ def portal_filter(a: Archive) -> DataFrame:
 
 
 @query("viewport_cull", ("incident",), """
-    SELECT id FROM incident WHERE latitude BETWEEN -22.5 AND -7.5 AND longitude BETWEEN -63.75 AND -41.25
-      OR (SELECT count(*) FROM incident) < 1500""")
+    SELECT id FROM incident WHERE latitude BETWEEN -22.5 AND -7.5 AND longitude BETWEEN -63.75 AND -41.25""")
 def viewport_cull(a: Archive) -> DataFrame:
     return filters.cull(a.incident, BOX).select("id")
 
@@ -553,7 +552,7 @@ def _export_condition() -> F.Column:
 
 @query("export_rows", ("incident",), f"""
     SELECT id, event_subtype, state, latitude, longitude, victim_count, title FROM incident WHERE {EXPORT_WHERE}
-    ORDER BY event_date DESC, id DESC LIMIT 50000""")
+    ORDER BY event_date DESC, id DESC""")
 def export_rows(a: Archive) -> DataFrame:
     columns = ["id", "event_subtype", "state", "latitude", "longitude", "victim_count", "secret", "title"]
     return lists.export_rows(a.incident, _export_condition(), columns)
@@ -578,7 +577,7 @@ def map_points(a: Archive) -> DataFrame:
 
 @query("admin_map", ("incident",), """
     SELECT id, homicide_type, city, latitude, longitude FROM incident WHERE latitude IS NOT NULL
-      AND event_date >= TIMESTAMP '2000-01-01' ORDER BY event_date DESC NULLS LAST, id LIMIT 1000""")
+      AND event_date >= TIMESTAMP '2000-01-01'""")
 def admin_map(a: Archive) -> DataFrame:
     rows = lists.admin_map(a.incident, start=dt.datetime(2000, 1, 1))
     return rows.select("id", "homicide_type", "city", "latitude", "longitude")
@@ -590,9 +589,9 @@ def feed_in_view(a: Archive) -> DataFrame:
     return lists.latest_in_view(a.incident, BOX).select("id")
 
 
-@query("scatter_cap", ("incident",), "SELECT id FROM incident ORDER BY id LIMIT 1200")
+@query("scatter_cap", ("incident",), "SELECT id FROM incident ORDER BY id")
 def scatter_cap(a: Archive) -> DataFrame:
-    return lists.capped(a.incident, 1200).select("id")
+    return lists.capped(a.incident).select("id")
 
 
 @query("batch_selector", ("incident",), """
@@ -604,10 +603,10 @@ def batch_selector(a: Archive) -> DataFrame:
 
 
 @query("pending_queue", ("raw",), """
-    SELECT id FROM raw WHERE deduplication_status = 'pending' ORDER BY event_date DESC NULLS LAST, id LIMIT 200""")
+    SELECT id FROM raw WHERE deduplication_status = 'pending' ORDER BY event_date DESC NULLS LAST, id""")
 def pending_queue(a: Archive) -> DataFrame:
     pending = F.col("deduplication_status") == "pending"
-    return lists.work_queue(a.raw, pending, [F.col("event_date").desc_nulls_last(), F.col("id")], 200).select("id")
+    return lists.work_queue(a.raw, pending, [F.col("event_date").desc_nulls_last(), F.col("id")]).select("id")
 
 
 @query("claimable_work", ("source",), """

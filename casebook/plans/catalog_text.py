@@ -135,7 +135,7 @@ def content_class(a: Archive) -> DataFrame:
     WITH m AS (SELECT id, content, regexp_extract(content, '(?i)\\bbalan[çc]o\\s+(anual|de\\s+mortes|crim(?:inal|inalidade))\\b', 0) AS hit
       FROM article),
     p AS (SELECT id, content, instr(content, hit) AS s, length(hit) AS n FROM m WHERE hit <> '')
-    SELECT id, substr(trim(substr(content, greatest(1, s - 20), s + n + 40 - greatest(1, s - 20)), chr(10) || ' '), 1, 200) AS snippet FROM p""")
+    SELECT id, trim(substr(content, greatest(1, s - 20), s + n + 40 - greatest(1, s - 20)), chr(10) || ' ') AS snippet FROM p""")
 def rule_snippets(a: Archive) -> DataFrame:
     rules = [r for r in fixed.ARTICLE_RULES if r[1] == "annual_balance"]
     found = a.article.withColumn("r", text.article_rule(F.col("content"), rules)).where(F.col("r").isNotNull())

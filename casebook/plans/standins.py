@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casebook import fixed
-from casebook.session import spread
 
 ORDERS_AS_OF = dt.datetime(2001, 8, 1)
 EVENTS_AS_OF = dt.datetime(2024, 1, 31)
@@ -88,7 +87,7 @@ INCIDENT = {
 }
 
 RAW = {
-    "id": "l_orderkey * 8 + l_linenumber",
+    "id": "raw_id",
     "unique_event_id": "CASE WHEN (l_orderkey * 8 + l_linenumber) % 3 = 0 THEN NULL ELSE l_orderkey END",
     "source_google_news_id": "CASE WHEN (l_orderkey * 8 + l_linenumber) % 5 = 0 THEN NULL ELSE l_partkey END",
     "event_date": "CASE WHEN l_partkey % 43 = 0 THEN NULL ELSE l_shipdate END",
@@ -110,9 +109,13 @@ RAW = {
     "is_gold_standard": "l_linenumber = 1",
     "created_at": "l_shipdate",
 }
-# one record per (order, line); repeated pairs of the generated table collapse
-RAW_KEYS = ["l_orderkey", "l_linenumber"]
-RAW_VALUES = ["l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus"]
+# one record per line; order and line number repeat in the generated table, so
+# the id is the head of a hash over the columns that tell rows apart, which is
+# the one expression the two engines spell differently
+_RAW_TEXT = "md5(concat_ws('|', " + ", ".join(
+    f"CAST(CAST({c} AS BIGINT) AS VARCHAR(19))" for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")) + "))"
+RAW_ID_SPARK = f"CAST(conv(substr({_RAW_TEXT}, 1, 15), 16, 10) AS BIGINT)"
+RAW_ID_SQL = f"CAST('0x' || substr({_RAW_TEXT}, 1, 15) AS BIGINT)"
 
 SOURCE = {
     "id": "event_id",
@@ -211,9 +214,7 @@ def spark_exprs(columns: dict[str, str]) -> list[str]:
 
 
 _RAW_SQL = (
-    "SELECT " + _select(RAW) + " FROM (SELECT l_orderkey, l_linenumber, "
-    + ", ".join(f"min({c}) AS {c}" for c in RAW_VALUES)
-    + " FROM lineitem GROUP BY l_orderkey, l_linenumber) l JOIN supplier ON l_suppkey = s_suppkey"
+    "SELECT " + _select(RAW) + f" FROM (SELECT *, {RAW_ID_SQL} AS raw_id FROM lineitem) l JOIN supplier ON l_suppkey = s_suppkey"
 )
 SQL_VIEWS = {
     "incident": "SELECT " + _select(INCIDENT) + " FROM orders JOIN customer ON o_custkey = c_custkey",
@@ -254,7 +255,7 @@ class Archive:
 
     @cached_property
     def raw(self) -> DataFrame:
-        lines = self.table("lineitem").groupBy(*RAW_KEYS).agg(*[F.min(c).alias(c) for c in RAW_VALUES])
+        lines = self.table("lineitem").withColumn("raw_id", F.expr(RAW_ID_SPARK))
         base = lines.join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         return base.selectExpr(*spark_exprs(RAW))
 
@@ -268,12 +269,12 @@ class Archive:
 
     @cached_property
     def article(self) -> DataFrame:
-        out = spread(self.table("documents")).selectExpr(*spark_exprs(ARTICLE))
+        out = self.table("documents").selectExpr(*spark_exprs(ARTICLE))
         return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("published_at", "updated_at")})
 
     @cached_property
     def headline(self) -> DataFrame:
-        return spread(self.table("conversations")).selectExpr(*spark_exprs(HEADLINE))
+        return self.table("conversations").selectExpr(*spark_exprs(HEADLINE))
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -293,6 +294,6 @@ class Archive:
         from casebook.functions.names import incident_names
 
         people = F.array().cast("array<struct<name:string>>")
-        return spread(self.incident, self.table("orders")).withColumn("people", people).withColumn(
+        return self.incident.withColumn("people", people).withColumn(
             "names", incident_names(F.col("victims_summary"), F.col("people"))
         )

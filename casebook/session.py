@@ -73,15 +73,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise to reliable storage and drop the lineage (survives lost executors)."""
     ensure_checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
-    """Give rows read from very few files one partition per core.
-
-    For CPU-heavy expressions over small inputs only: when the scan (by default
-    `df` itself) already has enough partitions, `df` is returned as it is, so
-    nothing large is ever reshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = (df if scan is None else scan).rdd.getNumPartitions()
-    return df if parts >= cores else df.repartition(cores)

@@ -10,11 +10,11 @@ from casebook.operators import stats
 from casebook.operators.lists import export_rows, export_truncated
 
 
-def export_csv(df: DataFrame, condition: Column, path: str, columns: list[str] | None = None, cap: int = fixed.EXPORT_MAX_ROWS) -> None:
+def export_csv(df: DataFrame, condition: Column, path: str, columns: list[str] | None = None, cap: int | None = None) -> None:
     export_rows(df, condition, columns, cap).write.mode("overwrite").option("header", True).csv(path)
 
 
-def export_json(df: DataFrame, condition: Column, path: str, columns: list[str] | None = None, cap: int = fixed.EXPORT_MAX_ROWS) -> DataFrame:
+def export_json(df: DataFrame, condition: Column, path: str, columns: list[str] | None = None, cap: int | None = None) -> DataFrame:
     """Write the JSON export; returns the one-row (exported, truncated) report."""
     export_rows(df, condition, columns, cap).write.mode("overwrite").json(path)
     return export_truncated(df, condition, cap)
@@ -36,12 +36,8 @@ def write_taxonomy_audit(df: DataFrame, path: str) -> None:
 
 
 def append_attempts(attempts: DataFrame, path: str) -> None:
-    """Append-only attempt log; details are clipped to 1000 characters."""
-    clipped_attempts(attempts).write.mode("append").parquet(path)
-
-
-def clipped_attempts(attempts: DataFrame) -> DataFrame:
-    return attempts.withColumn("failure_detail", F.substring("failure_detail", 1, 1000))
+    """Append-only attempt log with whole failure details."""
+    attempts.write.mode("append").parquet(path)
 
 
 def read_cases(spark: SparkSession, path: str, input_ddl: str, expected_ddl: str) -> DataFrame:

@@ -24,13 +24,12 @@ def publisher_dim(spark: SparkSession) -> DataFrame:
 def query_plan(cities: DataFrame, publishers: DataFrame, window: str = fixed.FEED_WINDOW) -> DataFrame:
     """One query per city, or one per outlet of its country for sharded cities.
 
-    cities: city, country, needs_sharding.  The outlet list is a fixed
-    dimension, so it is broadcast.
+    cities: city, country, needs_sharding.
     """
     base = F.concat_ws(" ", "city", F.lit(f"when:{window}"))
     plain = cities.where(~F.coalesce("needs_sharding", F.lit(False))).select("city", "country", base.alias("query"))
     sharded = (
-        cities.where("needs_sharding").join(F.broadcast(publishers), "country")
+        cities.where("needs_sharding").join(publishers, "country")
         .select("city", "country", F.concat(base, F.lit(" site:"), F.col("publisher")).alias("query"))
     )
     return plain.unionByName(sharded).withColumn("url", feed_url(F.col("query"), F.col("country")))
