@@ -70,6 +70,19 @@ LEGACY_LABELS = {
     "Homicídio Culposo": ("acidente_fatal", "culposo"),
     "Outro": ("nao_classificado", "outro"),
 }
+# words that name the security-force victim type
+OFFICER_WORDS = ("policial vitimado", "homicídio de policial", "homicidio de policial")
+# other labels by their words: all groups must occur, each by any of its words; first hit wins
+LABEL_WORD_RULES = [
+    ((("tentativa",), ("feminic",)), ("tentativa", "feminicidio")),
+    ((("tentativa",), ("latroc",)), ("tentativa", "latrocinio")),
+    ((("tentativa",),), ("tentativa", "simples")),
+    ((OFFICER_WORDS,), ("homicidio", "simples")),
+    ((("culposo",), ("trânsito", "transito")), ("acidente_fatal", "transito_culposo")),
+    ((("culposo",),), ("acidente_fatal", "culposo")),
+    ((("acidente",), ("trânsito",)), ("acidente_fatal", "transito_culposo")),
+]
+UNKNOWN_PAIR = ("nao_classificado", "outro")
 # portal label -> subtype, beyond the legacy labels
 PORTAL_LABELS = {
     "Homicídio": "simples",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from itertools import chain
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,35 +17,30 @@ def literal_map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs.items())])
 
 
-def legacy_to_pair(label: Column) -> Column:
-    """struct(family, subtype) of a legacy flat label: exact first, then by words."""
+def words_fit(contains: Callable, groups: tuple[tuple[str, ...], ...]):
+    """Whether each group has a word that `contains` finds; works on Columns and on booleans."""
+    return reduce(and_, [reduce(or_, [contains(word) for word in group]) for group in groups])
+
 
-    def pair(family: str, subtype: str | Column) -> Column:
-        sub = subtype if isinstance(subtype, Column) else F.lit(subtype)
-        return F.struct(F.lit(family).alias("family"), sub.alias("subtype"))
+def label_pair(label: str) -> tuple[str, str]:
+    """(family, subtype) of a legacy flat label given as a filter argument."""
+    text = label.strip()
+    low = text.lower()
+    by_words = (pair for groups, pair in fixed.LABEL_WORD_RULES if words_fit(low.__contains__, groups))
+    return fixed.LEGACY_LABELS.get(text) or next(by_words, fixed.UNKNOWN_PAIR)
 
+
+def legacy_to_pair(label: Column) -> Column:
+    """struct(family, subtype) of a legacy flat label: exact first, then by words."""
     text = F.trim(label)
     low = F.lower(text)
-    out = F.when(text.isNull() | (text == ""), pair("nao_classificado", "outro"))
-    for name, (family, subtype) in fixed.LEGACY_LABELS.items():
-        out = out.when(text == name, pair(family, subtype))
-    attempt = low.contains("tentativa")
-    officer = low.contains("policial vitimado") | low.rlike("homic[ií]dio de policial")
-    traffic = low.contains("trânsito")
-    return (
-        out.when(attempt & low.contains("feminic"), pair("tentativa", "feminicidio"))
-        .when(attempt & low.contains("latroc"), pair("tentativa", "latrocinio"))
-        .when(attempt, pair("tentativa", "simples"))
-        .when(officer, pair("homicidio", "simples"))
-        .when(
-            low.contains("culposo") | (low.contains("acidente") & traffic),
-            pair(
-                "acidente_fatal",
-                F.when(traffic | low.contains("transito"), "transito_culposo").otherwise("culposo"),
-            ),
-        )
-        .otherwise(pair("nao_classificado", "outro"))
-    )
+    tests = [(text == name, pair) for name, pair in fixed.LEGACY_LABELS.items()]
+    tests += [(words_fit(low.contains, groups), pair) for groups, pair in fixed.LABEL_WORD_RULES]
+
+    def struct(pair: tuple[str, str]) -> Column:
+        return F.struct(F.lit(pair[0]).alias("family"), F.lit(pair[1]).alias("subtype"))
+
+    return reduce(lambda rest, rule: F.when(rule[0], struct(rule[1])).otherwise(rest), reversed(tests), struct(fixed.UNKNOWN_PAIR))
 
 
 def pair_to_legacy(family: Column, subtype: Column) -> Column:

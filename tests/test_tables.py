@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from casebook import fixed
-from casebook.operators import fusion, filters, lifecycle, lists, monitor, neardup, quality, ranking, scoring, stats
+from casebook.functions import taxonomy
+from casebook.operators import filters, fusion, lifecycle, lists, merge, monitor, neardup, quality, ranking, scoring, stats
 from casebook.sources import exports, feeds
 from casebook.streaming import ingest, state
 
@@ -231,3 +232,51 @@ def test_resolution_pass_matches_then_clusters(spark):
     }
     assert {r["id"]: r["source_count"] for r in merged.collect()} == {100: 2, 2: 2}
     assert {r["step"]: r["rows"] for r in summary.collect()} == {"matched_to_existing": 1, "incidents_created": 1, "groups": 1, "near_merged": 0}
+
+
+@pytest.mark.parametrize("label", [
+    *fixed.LEGACY_LABELS, "Tentativa de feminicídio", "tentativa de latrocínio", "Tentativa", "Policial vitimado", "Homicidio de policial",
+    "Homicídio culposo no trânsito", "culposo transito", "Acidente de trânsito", "acidente transito", "nada", "",
+])
+def test_label_rules_agree_on_driver_and_column(spark, label):
+    row = spark.createDataFrame([(label,)], "l string").select(taxonomy.legacy_to_pair(F.col("l")).alias("p")).first()["p"]
+    assert tuple(row) == taxonomy.label_pair(label)
+
+
+def test_type_filter_forms(spark):
+    rows = spark.createDataFrame([
+        (1, "homicidio", "simples", "Homicídio", True), (2, "tentativa", "feminicidio", None, False), (3, None, None, "Feminicídio", None),
+        (4, "homicidio", "feminicidio", None, None),
+    ], "id int, event_family string, event_subtype string, homicide_type string, security_force_victim boolean")
+
+    def ids(value):
+        return sorted(r["id"] for r in rows.where(filters.type_filter(value)).collect())
+
+    assert ids("Policial Vitimado") == [1]
+    assert ids("feminicidio") == [2, 4]
+    assert ids("tentativa:feminicidio") == [2]
+    assert ids("Feminicídio") == [3, 4]
+
+
+def test_merge_requests_that_cannot_be_met_are_reported(spark):
+    incidents = spark.createDataFrame([(i,) for i in range(1, 9)], "id long")
+    asked = [(1, 2), (2, 3), (4, 5), (5, 4), (6, 7), (8, 7), (99, 1), (1, 98), (3, 3)]
+    merged, skipped = merge.plan_from_ids(incidents, spark.createDataFrame(asked, "survivor_id long, loser_id long"))
+    assert sorted(tuple(r) for r in merged.select("loser_id", "survivor_id").collect()) == [(2, 1), (3, 1), (7, 6)]
+    assert sorted(tuple(r) for r in skipped.collect()) == [
+        (1, 98, "loser_missing"), (4, 5, "ring_of_requests"), (5, 4, "ring_of_requests"), (8, 7, "loser_promised_twice"), (99, 1, "survivor_missing"),
+    ]
+
+
+def test_date_bounds_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "incidents")
+    spark.sql("SELECT 1 AS id, TIMESTAMP_NTZ '2024-01-02 10:00:00' AS event_date, 'x' AS city, 'y' AS state").write.parquet(path)
+    df = spark.read.parquet(path)
+    for condition in (
+        filters.batch_filter(start=dt.date(2024, 1, 1), end=dt.date(2024, 1, 2)),
+        filters.Facets(start="2024-01-01", end="2024-01-02").condition(),
+    ):
+        found = df.where(condition)
+        assert found.count() == 1
+        pushed = found._jdf.queryExecution().executedPlan().toString().split("PushedFilters:")[1]
+        assert "GreaterThanOrEqual(event_date" in pushed and "LessThan(event_date" in pushed
