@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casebook import fixed
+from casebook.functions.payload import PUBLIC_FIELDS
 from casebook.functions.places import haversine_km, in_bounds, radius_bounds
 from casebook.operators import filters
 
@@ -18,6 +19,20 @@ LIST_COLUMNS = [
 ]
 
 
+DETAIL_COLUMNS = [
+    "id", "event_date", "time_of_day", "country", "state", "city", "neighborhood", "street", "event_family", "event_subtype",
+    "homicide_type", "method_of_death", "victim_count", "victims_summary", "perpetrator_count",
+    *PUBLIC_FIELDS, "title", "chronological_description", "latitude", "longitude",
+    "location_precision", "formatted_address", "merged_data", "source_count", "created_at", "updated_at",
+]
+
+
+def detail(df: DataFrame) -> DataFrame:
+    """Public projection of single incidents: what the archive holds of it; a zero coordinate is no coordinate."""
+    shown = {c: F.when(F.col(c) != 0, F.col(c).cast("double")) for c in ("latitude", "longitude")}
+    return df.select(*[shown.get(c, F.col(c)).alias(c) for c in DETAIL_COLUMNS if c in df.columns])
+
+
 def map_points(df: DataFrame) -> DataFrame:
     """Flat short-key map projection; decimals become doubles."""
     return df.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(

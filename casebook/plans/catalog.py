@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.plans import catalog_link, catalog_ops, catalog_read, catalog_text  # noqa: F401
+from casebook.plans import catalog_link, catalog_more, catalog_ops, catalog_read, catalog_text  # noqa: F401
 from casebook.plans.registry import BUILDERS, CHECKS, runnable
 
 

@@ -40,7 +40,11 @@ def append_attempts(attempts: DataFrame, path: str) -> None:
     attempts.write.mode("append").parquet(path)
 
 
-def read_cases(spark: SparkSession, path: str, input_ddl: str, expected_ddl: str) -> DataFrame:
-    """Cases of label or report documents, one row per case."""
-    documents = spark.read.schema(schemas.fixture(input_ddl, expected_ddl)).option("multiLine", True).json(path)
+def read_cases(spark: SparkSession, path: str, input_ddl: str, expected_ddl: str, multi_line: bool = True) -> DataFrame:
+    """Cases of label or report documents, one row per case.
+
+    Documents are small files that each hold one document, or, without
+    multi_line, lines of files of any size.
+    """
+    documents = spark.read.schema(schemas.fixture(input_ddl, expected_ddl)).option("multiLine", multi_line).json(path)
     return documents.select(F.explode("cases").alias("c")).select("c.*")

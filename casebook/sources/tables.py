@@ -20,22 +20,26 @@ def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: read_table(spark, root, name) for name in schemas.TABLES}
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Analyst CSV with a header, quoted multi-line cells and a declared schema."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """Analyst CSV with a header and a declared schema.
+
+    Files whose cells hold line ends need multi_line, which reads a file per task.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    return reader.schema(schema).csv(path)
 
 
 def read_jdbc(
-    spark: SparkSession, url: str, table: str, partition_column: str = "id",
-    lower: int = 0, upper: int = 1, partitions: int = 1, **options: str,
+    spark: SparkSession, url: str, table: str, partition_column: str = "id", partitions: int = 64, **options: str,
 ) -> DataFrame:
-    """Database table read in id ranges by parallel tasks."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
-    if partitions > 1:
-        reader = reader.options(
-            partitionColumn=partition_column, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(partitions)
-        )
-    return reader.load()
+    """Database table read in id ranges by parallel tasks; the database gives the bounds."""
+    source = spark.read.format("jdbc").options(url=url, **options)
+    bounds = f"SELECT min({partition_column}) AS low, max({partition_column}) AS high FROM {table}"
+    low, high = source.option("query", bounds).load().first()
+    if low is None:
+        return source.option("dbtable", table).load()
+    ranges = {"partitionColumn": partition_column, "lowerBound": str(low), "upperBound": str(high + 1), "numPartitions": str(partitions)}
+    return source.options(dbtable=table, **ranges).load()
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, batch_size: int = 1000, mode: str = "append", **options: str) -> None:
