@@ -227,3 +227,33 @@ def unigram(docs):
         d: (held(d), len(own), sum(counts[t] > 0 for t in own), n, sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in own))
         for d, own in tokens.items()
     }
+
+
+def redacted(text, live=frozenset()):
+    """Text with base secrets, then live tokens, masked: assignments, then keys, then digits."""
+    if text is None:
+        return None
+    pattern = r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    text = re.sub(pattern, lambda m: "[SECRET]" if len(m[2]) >= 6 else m[0], text)
+    text = re.sub("AKIA[A-Z0-9]{16,}", "[SECRET]", text)
+    text = re.sub("[0-9a-f]{24,}", "[SECRET]", text)
+    for value in live:
+        text = text.replace(value, "[SECRET]")
+    return text
+
+
+def mix_copies(docs):
+    """Copies per row of (doc_id, source, text), in the order of md5 of the id."""
+    sizes = Counter()
+    for _, s, t in docs:
+        sizes[s] += len(words(t))
+    want = targets(sizes)
+    key = lambda i: hashlib.md5(("" if docs[i][0] is None else str(docs[i][0])).encode()).hexdigest()
+    done, copies = Counter(), [0] * len(docs)
+    for i in sorted(range(len(docs)), key=lambda i: (key(i), docs[i][0] or 0, len(words(docs[i][2])))):
+        _, s, t = docs[i]
+        n = len(words(t))
+        middle = done[s] + n / 2
+        copies[i] = sum(middle + e * sizes[s] <= want[s] + 1e-9 for e in range(3 if n else 1))
+        done[s] += n
+    return copies

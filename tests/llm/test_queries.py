@@ -218,7 +218,7 @@ def test_pipeline_stages(spark, edge_folder, empty_folder):
     alone = sum(d is None and c is None for d, c in components)  # no id in the whole component
     assert Counter(r["doc_id"] for r in single) == Counter({c for _, c in components} - {None}) + Counter({None: alone})
     safe = {r["doc_id"]: r for r in _plain(pipeline.secret_scan(spark, docs, edge_folder)) if r["doc_id"]}
-    assert safe[12]["text"] == "[SECRET] and token=abc and [SECRET]" and safe[12]["n_chars"] == len(safe[12]["text"])
+    assert safe[12]["text"] == '[SECRET]" and token=abc and [SECRET]' and safe[12]["n_chars"] == len(safe[12]["text"])
     assert safe[15]["text"] == "live [SECRET] here" and safe[16]["text"].startswith("copied Example1")
     assert safe[4]["text"] is None and safe[1]["size"] == "size0"
     planned = Counter()
@@ -228,23 +228,33 @@ def test_pipeline_stages(spark, edge_folder, empty_folder):
     assert mixed == +planned
 
 
-def test_pipeline_equals_its_stages(spark, edge_folder):
-    """run() against the stages' decisions remade by hand."""
+def test_pipeline_equals_brute_force(spark):
+    """run() against the stages remade in plain Python (quality verdicts by SQL)."""
     import corpus_pipeline as pipeline
+    from tokenizers import Tokenizer
 
-    rows = _plain(pipeline.run(spark, edge_folder))
-    docs = spark.read.parquet(f"{edge_folder}/documents.parquet")
-    good = Counter(r["doc_id"] for r in _plain(QUERIES["op2_quality_rules"](spark, edge_folder).where("kept")))
-    text = {d: t for d, t, *_ in DOCUMENTS}
-    prints = [(d, brute.fingerprint(text[d])) for d in good if d is not None]
-    first = {c for _, c in brute.components(prints)}
-    assert {r["doc_id"] for r in rows} <= first | {None}
-    assert docs.count() == len(DOCUMENTS) and rows
-    tokens = {r["doc_id"]: r["doc_tokens"] for r in rows}
-    lengths = Counter()
-    for r in rows:
-        lengths[r["doc_id"]] += r["length"]
-    assert all(lengths[d] % tokens[d] == 0 and lengths[d] // tokens[d] <= 3 for d in tokens if d is not None)
+    if not os.path.isdir(SMALL):
+        pytest.skip("test tables not present")
+    con = duck(SMALL)
+    kept = con.execute(f"SELECT doc_id FROM ({catalog.oracle_sql()['op2_quality_rules']}) WHERE kept").fetchall()
+    kept = {d for d, in kept}
+    docs = [r for r in con.execute("SELECT doc_id, source, text FROM documents").fetchall() if r[0] in kept]
+    first = {c for _, c in brute.components([(d, brute.fingerprint(t)) for d, _, t in docs])}
+    docs = [(d, s, brute.redacted(t)) for d, s, t in docs if d in first]
+    copies = brute.mix_copies(docs)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want, crcs = Counter(), {}
+    for (d, _, t), n in zip(docs, copies, strict=True):
+        if n:
+            ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+            want[d] = n * len(ids)
+            crcs[d] = ids
+    got = Counter()
+    for r in _plain(pipeline.run(spark, SMALL)):
+        got[r["doc_id"]] += r["length"]
+        own = crcs[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == brute.binascii.crc32(b"".join(i.to_bytes(4, "little") for i in own))
+    assert got == want
 
 
 def test_extra_columns_survive_null_text(spark, edge_folder):
