@@ -75,11 +75,7 @@ def victim_name_block(a: Archive) -> DataFrame:
     SELECT raw_id, unique_id, CASE min(rank) WHEN 2 THEN 'date_city' ELSE 'neighborhood' END AS strategy,
       count(DISTINCT rank) AS strategies FROM p GROUP BY 1, 2""")
 def candidate_union(a: Archive) -> DataFrame:
-    unnamed = a.raw.where(F.col("name").isNull())
-    return candidates.union_candidates({
-        "date_city": candidates.by_date_city(a.raw, a.incident),
-        "neighborhood": candidates.by_neighborhood(unnamed, a.incident),
-    })
+    return candidates.union_candidates({"date_city": candidates.by_date_and_place(a.raw, a.incident, F.col("name").isNull())})
 
 
 @query("all_candidates")
