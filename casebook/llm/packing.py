@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.tokens import WordTokenizer
+from casebook.llm.tokens import WordTokenizer, shared_tokenizer
 from casebook.session import apply_settings
 
 TIERS = (256, 512, 1024, 2048)
@@ -197,7 +197,7 @@ def _rows(windows: list[tuple[int, list[Piece]]], first_sequence: int, first_gro
 
 
 def _pack_task(batches: Iterator[pa.RecordBatch], vocabulary: str, tiers: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    tokenizer = WordTokenizer(vocabulary)
+    tokenizer = shared_tokenizer(WordTokenizer, vocabulary)
     end = np.array([END_ID], "<u4").tobytes()
     first = TaskContext.get().partitionId() << TASK_BITS
     packer, tokens, sequences, groups = Packer(tiers), 0, first, first

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from casebook.llm.common import as_bytes
 SEPARATOR = "<|startoftext|>"
 CACHE_WORDS = 1_000_000  # the cache is emptied beyond this number of words
 CALL_WORDS = 20_000  # words encoded in one call
+MARKS = frozenset({b".", b",", b"!", b"?", b";", b":"})
 
 
 class WordTokenizer:
@@ -49,18 +51,23 @@ class WordTokenizer:
         return out
 
     def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), CALL_WORDS):
-            self._learn_some(words[at : at + CALL_WORDS])
-
-    def _learn_some(self, words: list[bytes]) -> None:
-        mark = SEPARATOR.encode()
+        split = [_plain(w) for w in words]
+        unknown = list({part for pair in split for part in pair if part and part not in self.cache})
+        for at in range(0, len(unknown), CALL_WORDS):
+            self._encode(unknown[at : at + CALL_WORDS])
+        for word, (body, mark) in zip(words, split, strict=True):
+            if word is not body:
+                self.cache[word] = self.cache[body] + self.cache[mark] if mark else self.cache[body]
+
+    def _encode(self, words: list[bytes]) -> None:
+        separator = SEPARATOR.encode()
         plain = []
         for w in words:
-            if mark in w:
+            if separator in w:
                 self.cache[w] = self._ids(w.decode())
             else:
                 plain.append(w)
-        ids = np.frombuffer(self._ids(mark.join(plain).decode()), "<u4")
+        ids = np.frombuffer(self._ids(separator.join(plain).decode()), "<u4")
         cuts = np.flatnonzero(ids == self.separator)
         raw = ids.tobytes()
         starts = np.concatenate(([0], cuts + 1)) * 4
@@ -71,6 +78,20 @@ class WordTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def _plain(word: bytes) -> tuple[bytes, bytes]:
+    """A word with the same ids, and a punctuation mark that follows it as an id of its own.
+
+    Letter case of ASCII words makes no difference to this vocabulary, and a
+    mark behind a letter or digit is always apart.  Special tokens keep theirs.
+    """
+    if b"<|" in word or not word.isascii():
+        return word, b""
+    mark = word[-1:]
+    if mark in MARKS and word[-2:-1].isalnum():
+        return word[:-1].lower(), mark
+    return word.lower(), b""
+
+
 class ByteTokenizer:
     """Byte-level ids of words, each taken with a space before it; the id after the last is free for an end mark."""
 
@@ -106,11 +127,7 @@ class ByteTokenizer:
             return ids
 
 
-_SHARED: dict[str, ByteTokenizer] = {}
-
-
-def shared_tokenizer(vocabulary: str) -> ByteTokenizer:
-    """One tokenizer per process and vocabulary, so that tasks of a worker share what it has learnt."""
-    if vocabulary not in _SHARED:
-        _SHARED[vocabulary] = ByteTokenizer(vocabulary)
-    return _SHARED[vocabulary]
+@lru_cache
+def shared_tokenizer(kind: type, vocabulary: str) -> WordTokenizer | ByteTokenizer:
+    """One tokenizer per process, so that the tasks of a worker share what it has learnt."""
+    return kind(vocabulary)
