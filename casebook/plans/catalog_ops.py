@@ -739,10 +739,11 @@ def stream_rolling_counts(a: Archive) -> DataFrame:
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "count")
 
 
-@query("stream_dedupe", ("source",), "SELECT DISTINCT id FROM source")
+@query("stream_dedupe", ("source",), "SELECT DISTINCT user_id FROM source")
 def stream_dedupe(a: Archive) -> DataFrame:
-    rows = _stream(a, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("fetched_at"))
-    return _run(ingest.deduplicated(rows, "fetched_at", ["id"]), "append", "dedupe").select("id")
+    """The table arrives in one batch, so every repeat lies inside the watermark."""
+    rows = _stream(a, "events").select("user_id", F.col("ts").alias("fetched_at"))
+    return _run(ingest.deduplicated(rows, "fetched_at", ["user_id"]), "append", "dedupe").select("user_id")
 
 
 @query("stream_request_limits", ("source",), """
@@ -788,12 +789,17 @@ def stream_attempt_numbers(a: Archive) -> DataFrame:
 
     rows = ingest.event_time(_stream(a, "events").selectExpr(*spark_exprs(ATTEMPT)), "created_at")
     slim = rows.select("id", "source_google_news_id", "stage", "created_at")
-    return _run(state.numbered_attempts(slim), "append", "attempts").select("id", "attempt_no")
+    folder = work_folder(a.spark, "attempts")
+    ingest.drain(slim, f"{folder}/state", state.attempt_numberer(folder))
+    return a.spark.read.schema(state.ATTEMPT_NUMBERS).parquet(f"{folder}/out").select("id", "attempt_no")
 
 
-@query("stream_stuck_alerts")
+@query("stream_stuck_alerts", ("source",), """
+    SELECT id, status, 'ready_for_extraction' AS return_to FROM (
+      SELECT user_id AS id, arg_max(status, (fetched_at, id)) AS status, max(fetched_at) AS since FROM source GROUP BY 1)
+    WHERE status = 'extracting' AND since + INTERVAL 15 MINUTE < (SELECT max(fetched_at) FROM source) - INTERVAL 2 HOUR""")
 def stream_stuck_alerts(a: Archive) -> DataFrame:
     from casebook.plans.standins import SOURCE, spark_exprs
 
-    rows = _stream(a, "events").selectExpr(*spark_exprs(SOURCE)).select("id", "status", "updated_at")
+    rows = _stream(a, "events").selectExpr(*spark_exprs(SOURCE)).select(F.col("user_id").alias("id"), "status", "updated_at")
     return _run(state.stuck_alerts(rows), "append", "stuck").select("id", "status", "return_to")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+KEY_BUCKETS = 256
 WATERMARK = "2 hours"
 
 
@@ -21,25 +23,31 @@ def deduplicated(stream: DataFrame, time: str, keys: list[str], watermark: str =
     return event_time(stream, time).withWatermark(time, watermark).dropDuplicatesWithinWatermark(keys)
 
 
-def write_new(known_path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer that also drops keys already in the stored table."""
+def write_new(known_path: str, keys: list[str], buckets: int = KEY_BUCKETS) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer that also drops keys already in the stored table.
+
+    The table is laid out by a hash bucket of the keys, and a batch reads only
+    the buckets that its own keys fall into.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("key_bucket")
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch
-        if _exists(spark, known_path):
-            fresh = batch.join(spark.read.parquet(known_path).select(*keys), keys, "left_anti")
-        fresh.write.mode("append").parquet(known_path)
+        fresh = batch.select("*", bucket)
+        touched = [r["key_bucket"] for r in fresh.select("key_bucket").distinct().collect()]  # at most `buckets` numbers
+        try:
+            known = batch.sparkSession.read.schema(fresh.schema).parquet(known_path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            known = None
+        if known is not None:
+            own = known.where(F.col("key_bucket").isin(touched)).select(*keys, "key_bucket")
+            fresh = fresh.join(own, [*keys, "key_bucket"], "left_anti").select(fresh.columns)
+        fresh.write.mode("append").partitionBy("key_bucket").parquet(known_path)
 
     return write
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def hourly_counts(stream: DataFrame, time: str, status: str, watermark: str = WATERMARK) -> DataFrame:
     """Rows per hour and status (tumbling windows)."""
     hours = F.window(F.col(time), "1 hour")

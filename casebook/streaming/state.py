@@ -6,7 +6,7 @@ each operator's batch module.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,28 +67,36 @@ def sharding_history(runs: DataFrame, tie: str, threshold: int = fixed.SHARDING_
 
 
 # --- attempt numbers -------------------------------------------------------------------------
-def numbered_attempts(attempts: DataFrame, max_attempts: int = fixed.RETRY_MAX_ATTEMPTS) -> DataFrame:
-    """Stream of attempts to their number per (source, stage) and remaining budget."""
+def attempt_numberer(folder: str, max_attempts: int = fixed.RETRY_MAX_ATTEMPTS) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer of attempts with their number per (source, stage) and remaining budget.
+
+    A batch goes on from the counts that the batch before it left, a row per
+    key in a table per batch, so a batch that is run again gives the same.
+    Inside a batch numbers are two-level running sums in time order, whatever
+    the number of rows of a key.
+    """
+    keys = ["source_google_news_id", "stage"]
+    counts_ddl = "source_google_news_id long, stage string, attempts long"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = (
+            spark.read.schema(counts_ddl).parquet(f"{folder}/counts/batch={batch_id - 1}")
+            if batch_id else spark.createDataFrame([], counts_ddl)
+        )
+        hour = F.date_trunc("hour", F.col("created_at"))
+        numbered = running_sum(batch.select("id", *keys, "created_at"), keys, ["created_at", "id"], hour, F.lit(1), "_inside")
+        number = (F.col("_inside") + F.coalesce("attempts", F.lit(0))).alias("attempt_no")
+        out = numbered.join(before, keys, "left").select("id", *keys, number)
+        out.withColumn("can_retry", F.col("attempt_no") < max_attempts).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        seen = batch.groupBy(*keys).agg(F.count("*").alias("attempts"))
+        after = before.unionByName(seen).groupBy(*keys).agg(F.sum("attempts").alias("attempts"))
+        after.write.mode("overwrite").parquet(f"{folder}/counts/batch={batch_id}")
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (count,) = state.get if state.exists else (0,)
-        for batch in batches:
-            rows = batch.sort_values(["created_at", "id"])
-            numbers = range(count + 1, count + 1 + len(rows))
-            count += len(rows)
-            yield pd.DataFrame({
-                "id": rows["id"].to_numpy(), "source_google_news_id": key[0], "stage": key[1],
-                "attempt_no": list(numbers), "can_retry": [n < max_attempts for n in numbers],
-            })
-        state.update((count,))
+    return write
 
-    return attempts.groupBy("source_google_news_id", "stage").applyInPandasWithState(
-        update,
-        "id long, source_google_news_id long, stage string, attempt_no long, can_retry boolean",
-        "attempts long",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+
+ATTEMPT_NUMBERS = "id long, source_google_news_id long, stage string, attempt_no long, can_retry boolean, batch int"
 
 
 # --- stuck timers ---------------------------------------------------------------------------

@@ -280,3 +280,26 @@ def test_date_bounds_reach_the_scan(spark, tmp_path):
         assert found.count() == 1
         pushed = found._jdf.queryExecution().executedPlan().toString().split("PushedFilters:")[1]
         assert "GreaterThanOrEqual(event_date" in pushed and "LessThan(event_date" in pushed
+
+
+def test_attempt_numbers_of_a_key_beyond_one_arrow_batch(spark):
+    path = folder()
+    write = state.attempt_numberer(path)
+    rows = spark.range(25_000).select(
+        ((F.col("id") * 7919) % 25_000).alias("id"), F.lit(1).cast("long").alias("source_google_news_id"), F.lit("download").alias("stage"))
+    timed = rows.withColumn("created_at", F.timestamp_seconds(1_700_000_000 + F.col("id")))
+    write(timed.where("id < 20000"), 0)
+    write(timed.where("id >= 20000"), 1)
+    write(timed.where("id >= 20000"), 1)  # run again
+    got = spark.read.schema(state.ATTEMPT_NUMBERS).parquet(path + "/out")
+    assert got.count() == 25_000 and got.where("attempt_no <> id + 1").count() == 0
+    assert got.where(F.col("can_retry") != (F.col("attempt_no") < fixed.RETRY_MAX_ATTEMPTS)).count() == 0
+
+
+def test_write_new_reads_only_its_buckets(spark):
+    path = folder()
+    write = ingest.write_new(path + "/known", ["id"], buckets=8)
+    write(spark.range(100), 0)
+    write(spark.range(50, 120), 1)
+    known = spark.read.parquet(path + "/known")
+    assert known.count() == 120 and known.select("id").distinct().count() == 120
