@@ -41,6 +41,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
 
 OUTSIDE, INSIDE = 0, 1
@@ -72,7 +73,7 @@ def _is_chrome(tag: str, source: str, in_article: bool) -> bool:
     if not source.strip():
         return False
     given = attributes(source)
-    if "hidden" in given or given.get("role", "").lower() in CHROME_ROLES:
+    if "hidden" in given or given.get("role", "").lower() in CHROME_ROLES or _HIDDEN.search(given.get("style", "")):
         return True
     if tag in NEVER_BY_WORD:
         return False
@@ -81,6 +82,13 @@ def _is_chrome(tag: str, source: str, in_article: bool) -> bool:
     return bool(hits - TITLE_WORDS if in_article else hits)
 
 
+def _is_content(tag: str, source: str) -> bool:
+    if tag in CONTENT:
+        return True
+    given = attributes(source) if source.strip() else {}
+    return given.get("role", "").lower() in CONTENT or given.get("itemprop") == "articleBody"
+
+
 class _Reader:
     def __init__(self) -> None:
         self.page = Page()
@@ -124,7 +132,7 @@ class _Reader:
                 self.link, self.link_address = [], address
         if tag in VOID or source.endswith("/") and tag not in BLOCK:
             return
-        kind = -1 if chrome else 1 if tag in CONTENT else 0
+        kind = -1 if chrome else int(_is_content(tag, source))
         if kind or tag in ("div", "section", "p"):
             self.stack.append((tag, kind))
             self.open[tag] += 1
@@ -161,14 +169,13 @@ def read_page(html: str) -> Page:
             continue
         if found[1] or found[4]:
             reader.end(tag)
-        elif tag in RAW and not (source := found[3] or found[6] or "").endswith("/"):
+        elif tag in RAW and not (found[3] or found[6] or "").endswith("/"):
             if tag in BLOCK:
                 reader.flush()
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
             if tag == "title" and not reader.page.title:
                 reader.page.title = squeeze(html[at : close.start() if close else size])
             at = close.end() if close else size
-            del source
         else:
             reader.start(tag, found[3] or found[6] or "")
     reader.end_link()
