@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,5 +36,17 @@ def as_bytes(array: pa.Array) -> list[bytes]:
     return [value or b"" for value in array.cast(pa.large_binary()).to_pylist()]
 
 
+def portions(texts: list[bytes], size: int = 1_000_000) -> Iterator[slice]:
+    """Runs of texts of about `size` bytes together, at least one text each."""
+    start = held = 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > size:
+            yield slice(start, i)
+            start, held = i, 0
+        held += len(text)
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

@@ -17,6 +17,7 @@ from casebook.llm.common import as_bytes
 
 SEPARATOR = "<|startoftext|>"
 CACHE_WORDS = 1_000_000  # the cache is emptied beyond this number of words
+HALF_CACHE_WORDS = 250_000  # of either half of a cache in two halves
 CALL_WORDS = 20_000  # words encoded in one call
 MARKS = frozenset({b".", b",", b"!", b"?", b";", b":"})
 
@@ -95,7 +96,7 @@ def _plain(word: bytes) -> tuple[bytes, bytes]:
 class ByteTokenizer:
     """Byte-level ids of words, each taken with a space before it; the id after the last is free for an end mark."""
 
-    def __init__(self, vocabulary: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, vocabulary: str, cache_words: int = HALF_CACHE_WORDS):
         import base64
 
         import public_tokenizers
@@ -111,8 +112,12 @@ class ByteTokenizer:
             self.starts_word[rank] = int(piece.startswith(b" "))
         self.starts_word[self.end] = 1
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.cache_words = cache_words
 
+    def encode_word(self, word: bytes) -> list[int]:
+        return self.encoding.encode_ordinary(" " + word.decode())
+
     def encode_words(self, words: list[bytes]) -> bytes:
         cache = self.cache
         try:
@@ -120,10 +125,10 @@ class ByteTokenizer:
         except KeyError:
             for w in words:
                 if w not in cache:
-                    cache[w] = array("I", self.encoding.encode_ordinary(" " + w.decode())).tobytes()
+                    cache[w] = self.older.get(w) or array("I", self.encode_word(w)).tobytes()
             ids = b"".join([cache[w] for w in words])
-            if len(cache) > self.cache_words:
-                cache.clear()
+            if len(cache) > self.cache_words:  # frequent words come back from the older half
+                self.cache, self.older = {}, cache
             return ids
 
 
