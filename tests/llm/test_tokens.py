@@ -25,3 +25,16 @@ def test_small_cache_gives_the_same():
     assert WordTokenizer(path, cache_words=2).encode(texts) == WordTokenizer(path).encode(texts)
     fine = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     assert ByteTokenizer(fine, cache_words=1).encode_words([b"one", b"two"]) == ByteTokenizer(fine).encode_words([b"one", b"two"])
+
+
+def test_letter_words_have_the_ids_of_the_vocabulary():
+    import random
+
+    draw = random.Random(5)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEÀÉÎŒœßñçüöäïŁž.,'!5ªµ"
+    words = ["".join(draw.choice(alphabet) for _ in range(draw.randint(1, 16))) for _ in range(30_000)]
+    tokenizer = WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    assert tokenizer.letters is not None
+    want = tokenizer.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+    for word, ids, whole in zip(words, tokenizer.encode_bytes([w.encode() for w in words]), want, strict=True):
+        assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == whole.ids, word
