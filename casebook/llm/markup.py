@@ -42,7 +42,10 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
-_NAME_PARTS = re.compile(r"[^a-z0-9]+")
+FOREIGN_WORDS = frozenset({  # may outweigh the article, yet never hold it
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "cookie", "cookies", "consent",
+    "comment", "comments", "disqus",
+})
 
 OUTSIDE, INSIDE = 0, 1
 
@@ -67,19 +70,25 @@ def squeeze(text: str) -> str:
     return " ".join(unescape(text).split())
 
 
-def _is_chrome(tag: str, source: str, in_article: bool) -> bool:
-    if tag in CHROME and not (tag == "header" and in_article):
-        return True
+HARD, SOFT = -1, -2  # chrome; chrome by a name only, unless it holds most of the page
+
+
+def _chrome(tag: str, source: str, in_article: bool) -> int:
+    """HARD, SOFT or 0.  Forms and words of class or id are SOFT: whole pages stand in such elements too."""
+    if tag in CHROME and tag != "form" and not (tag == "header" and in_article):
+        return HARD
+    soft = SOFT if tag == "form" else 0
     if not source.strip():
-        return False
+        return soft
     given = attributes(source)
     if "hidden" in given or given.get("role", "").lower() in CHROME_ROLES or _HIDDEN.search(given.get("style", "")):
-        return True
+        return HARD
     if tag in NEVER_BY_WORD:
-        return False
-    words = set(_NAME_PARTS.split(f"{given.get('class', '')} {given.get('id', '')}".lower()))
-    hits = words & CHROME_WORDS
-    return bool(hits - TITLE_WORDS if in_article else hits)
+        return 0
+    hits = set(f"{given.get('class', '')} {given.get('id', '')}".lower().split()) & CHROME_WORDS
+    if hits & FOREIGN_WORDS:
+        return HARD
+    return SOFT if (hits - TITLE_WORDS if in_article else hits) else soft
 
 
 def _is_content(tag: str, source: str) -> bool:
@@ -92,7 +101,10 @@ def _is_content(tag: str, source: str) -> bool:
 class _Reader:
     def __init__(self) -> None:
         self.page = Page()
-        self.stack: list[tuple[str, int]] = []  # (tag, -1 chrome, 1 content, 0 neither)
+        self.stack: list[tuple[str, int]] = []  # (tag, HARD or SOFT chrome, 1 content, 0 neither)
+        self.soft: list[int] = []  # open SOFT elements, by number
+        self.wraps: list[bool] = []  # of every SOFT element: content markup starts in it, or it stands in none
+        self.found: list[tuple[int, str, tuple[int, ...]]] = []  # (kind, text, SOFT elements around it)
         self.open: Counter[str] = Counter()
         self.kinds: Counter[int] = Counter()
         self.run: list[str] = []
@@ -109,17 +121,32 @@ class _Reader:
         if self.run:
             if text := squeeze("".join(self.run)):
                 self.page.lines.append(text)
-                if not self.kinds[-1]:
-                    self.page.blocks.append((INSIDE if self.kinds[1] else OUTSIDE, text))
+                if not self.kinds[HARD]:
+                    self.found.append((INSIDE if self.kinds[1] else OUTSIDE, text, tuple(self.soft)))
             self.run = []
 
     def _pop(self) -> None:
         tag, kind = self.stack.pop()
         self.open[tag] -= 1
         self.kinds[kind] -= 1
+        if kind == SOFT:
+            self.soft.pop()
+
+    def decide(self) -> None:
+        """Fill the page's blocks: a SOFT element is chrome unless it holds over half of the text, or of the text in content markup."""
+        total, held = [0, 0], [[0, 0] for _ in self.wraps]
+        for kind, text, around in self.found:
+            for sums in (total, *(held[i] for i in around)):
+                sums[0] += len(text)
+                sums[1] += len(text) * (kind == INSIDE)
+        chrome = {
+            i for i, own in enumerate(held)
+            if not self.wraps[i] or not any(2 * part > whole for part, whole in zip(own, total, strict=True))
+        }
+        self.page.blocks = [(kind, text) for kind, text, around in self.found if chrome.isdisjoint(around)]
 
     def start(self, tag: str, source: str) -> None:
-        chrome = _is_chrome(tag, source, bool(self.kinds[1]))
+        chrome = _chrome(tag, source, bool(self.kinds[1]))
         if tag in BLOCK or chrome:
             self.flush()
             if tag in BLOCK and self.stack and self.stack[-1][0] == "p":
@@ -132,7 +159,13 @@ class _Reader:
                 self.link, self.link_address = [], address
         if tag in VOID or source.endswith("/") and tag not in BLOCK:
             return
-        kind = -1 if chrome else int(_is_content(tag, source))
+        kind = chrome or int(_is_content(tag, source))
+        if kind == SOFT:
+            self.soft.append(len(self.wraps))
+            self.wraps.append(not self.kinds[1])
+        elif kind == 1:
+            for i in self.soft:
+                self.wraps[i] = True
         if kind or tag in ("div", "section", "p"):
             self.stack.append((tag, kind))
             self.open[tag] += 1
@@ -180,6 +213,7 @@ def read_page(html: str) -> Page:
             reader.start(tag, found[3] or found[6] or "")
     reader.end_link()
     reader.flush()
+    reader.decide()
     return reader.page
 
 
