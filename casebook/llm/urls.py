@@ -7,7 +7,8 @@ boosted trees trained from labelled urls: here those that a rule decides.
 Features are built-in expressions over the url: lengths, depth, digit ratio,
 character entropy, parameter counts, and how often labelled urls of the same
 host suffix are blocked (counted over all of them).  Training reads at most
-MAX_TRAINING labelled rows, those with the smallest hash.
+MAX_TRAINING distinct labelled urls, those with the smallest hash, each weighted
+by its number of rows.
 
 Defined cases: a url that is null or has no '://' has an empty host and path and
 is judged like any other; repeated urls get one verdict; with labels of one kind
@@ -122,13 +123,15 @@ def assemble(rows: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, max_training: int = MAX_TRAINING) -> GBTClassificationModel | float:
-    """Trees fitted on rows with FEATURES and label (1 block, 0 allow); a constant if there is one label only."""
-    sample = labelled.orderBy(F.xxhash64("url"), "url").limit(max_training).select(*FEATURES, "label")
+    """Trees fitted on rows with url, FEATURES and label (1 block, 0 allow); a constant if there is one label only."""
+    same = [c for c in labelled.columns if c in (*FEATURES, "label")]  # alike in all rows of a url
+    distinct = labelled.groupBy("url").agg(F.count("*").cast("double").alias("times"), *[F.first(c).alias(c) for c in same])
+    sample = distinct.orderBy(F.xxhash64("url"), "url").limit(max_training).select(*FEATURES, "label", "times")
     sample = stored(sample, "url-training")
     kinds = sorted(r["label"] for r in sample.groupBy("label").count().collect())
     if len(kinds) < 2:
         return kinds[0] if kinds else 0.0
-    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(assemble(sample))
+    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, weightCol="times").fit(assemble(sample))
 
 
 def predict(rows: DataFrame, model: GBTClassificationModel | float) -> DataFrame:
