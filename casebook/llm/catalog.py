@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import checks, html, lm, mixing, packing, quality, secrets, simhash, topk, urls, warc
+from casebook.llm import (
+    alignment, checks, decontamination, html, lm, mixing, packing, quality, secrets, simhash, topk, urls, warc, whitening,
+)
 from casebook.session import apply_settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,9 +61,22 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
     return html.main_text(_table(spark, folder, "pages"))
 
 
+def op11_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.digest(decontamination.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")))
+
+
+def op12_whiten(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+def op13_align(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.alignment(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
         op1_pack, op2_quality_rules, op3_mix, op4_url_filter, op5_topk, op6_secrets, op7_lm_score, op8_warc, op9_simhash, op10_html,
+        op11_decontaminate, op12_whiten, op13_align,
     )}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casebook.llm import mixing, quality, secrets
+from casebook.llm import decontamination, mixing, quality, secrets
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 HAS_WORD = r"'[^\x20\x09-\x0D]'"
@@ -184,4 +184,29 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid) LEFT JOIN n USING (rid)"""
 
 
-SQL = {"op2_quality_rules": _quality(), "op3_mix": _mix(), "op5_topk": TOPK, "op6_secrets": _secrets()}
+# --- benchmark passages ------------------------------------------------------------------------
+_LOWERED = f"regexp_extract_all(translate(coalesce(text, ''), '{decontamination.UPPER}', '{decontamination.LOWER}'), '{decontamination.WORD}')"
+_FOLLOWING = ", ".join(f"lead(word, {k}) OVER f" for k in range(1, decontamination.WINDOW))
+DECONTAMINATE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_LOWERED} AS ws FROM documents),
+i AS (SELECT item_id, {_LOWERED} AS ws FROM benchmark),
+w AS (SELECT item_id, least(len(ws), {decontamination.WINDOW}) AS size, ws,
+  unnest(range(greatest(len(ws) - {decontamination.WINDOW}, 0) + 1)) AS k FROM i WHERE len(ws) > 0),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(ws[k + 1 : k + size], ' ') AS run FROM w),
+sizes AS (SELECT DISTINCT size FROM windows),
+t AS (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS k, len(ws) AS n FROM d),
+r AS (SELECT rid, k, n, [word, {_FOLLOWING}] AS ws FROM t WINDOW f AS (PARTITION BY rid ORDER BY k)),
+o AS (SELECT rid, k, size, item_id FROM (SELECT rid, k, size, array_to_string(ws[1 : size], ' ') AS run FROM r, sizes WHERE k + size <= n)
+  JOIN windows USING (size, run)),
+hit AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(k, k + size)) AS place FROM o) GROUP BY rid),
+found AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM o WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN found USING (rid)"""
+
+
+SQL = {
+    "op2_quality_rules": _quality(), "op3_mix": _mix(), "op5_topk": TOPK, "op6_secrets": _secrets(),
+    "op11_decontaminate": DECONTAMINATE,
+}

@@ -25,7 +25,7 @@ DOCUMENTS = [
     (20, "Ünïcode ÀÉÎ words Ⅷ ﬁ \u00a0nbsp \x1c fs", "de", "Z"), (21, PROSE.upper(), "en", "z"),
     (22, "x <|endoftext|> y <|startoftext|>z it's don't", "en", "z"), (50, "tie", "en", "q"), (51, "tie", "en", "q"),
 ]
-EXTRA = ["size", "fp", "row", "counts", "root", "position", "start", "hash", "row_id", "id", "copies", "plain", "tokens"]
+EXTRA = ["size", "fp", "row", "counts", "root", "position", "start", "hash", "row_id", "id", "copies", "plain", "tokens", "words", "a", "b"]
 
 
 def table(rows=DOCUMENTS, extra=EXTRA):
@@ -36,6 +36,14 @@ def table(rows=DOCUMENTS, extra=EXTRA):
     }
     return pa.table(columns | {name: pa.array([f"{name}{i}" for i in range(len(rows))], pa.string()) for name in extra})
 
+# Items that are null, empty, short, repeated, without an id, or stand in several documents.
+ITEMS = [
+    (1, PROSE), (2, "Two women stood by the ropes and talked about the price of bread"), (2, "tie"), (3, None), (4, "... --- ..."),
+    (5, "ONE"), (6, "nobody expected the small grey boat to come back so early today or ever"), (7, "w3x3 w4x4"), (8, "tie"),
+    (None, "copied Example1Token2Sample3Value"), (9, "Ünïcode ÀÉÎ words"), (10, "same line here again same line here again same line here"),
+    (11, "w11x11 w12x12 w13x13 w14x14 w15x15 w16x16 w17x17 w18x18 w19x19 w20x20 w21x21 w22x22"),
+]
+
 
 def page(body):
     return f"<html lang=en><head><title>t &amp; u</title></head><body>{body}</body></html>"
@@ -69,19 +77,23 @@ def edge_folder(tmp_path_factory):
         "vec_id": pa.array([v[0] for v in vectors], pa.int64()), "embedding": pa.array([v[1] for v in vectors], pa.list_(pa.float32())),
         "label": pa.array([0] * len(vectors), pa.int32()), "score": pa.array([0] * len(vectors), pa.int32()),
     }), folder / "embeddings.parquet")
+    pq.write_table(pa.table({
+        "item_id": pa.array([i for i, _ in ITEMS], pa.int64()), "text": pa.array([t for _, t in ITEMS], pa.string()),
+        "n_words": pa.array(["clash"] * len(ITEMS)), "words": pa.array(["clash"] * len(ITEMS)),
+    }), folder / "benchmark.parquet")
     return str(folder)
 
 
 @pytest.fixture(scope="session")
 def empty_folder(tmp_path_factory, edge_folder):
     folder = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "pages", "embeddings"):
+    for name in ("documents", "pages", "embeddings", "benchmark"):
         pq.write_table(pq.read_table(f"{edge_folder}/{name}.parquet").slice(0, 0), folder / f"{name}.parquet")
     return str(folder)
 
 
 def duck(folder):
     con = duckdb.connect()
-    for name in ("documents", "pages", "embeddings"):
+    for name in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     return con
