@@ -2,25 +2,55 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 from casebook import fixed
 
 
-@lru_cache(maxsize=65_536)
 def ratio(a: str, b: str) -> float:
     """2M/T over matching blocks, on all letters whatever the length of the texts."""
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-@lru_cache(maxsize=65_536)
+def matches_needed(joint: int, threshold: float) -> int:
+    """The least M for which 2M / joint, as computed, reaches the threshold."""
+    need = max(0, math.ceil(threshold * joint / 2) - 1)
+    while joint and 2.0 * need / joint < threshold:
+        need += 1
+    return need
+
+
+class Matcher:
+    """Tests of many first texts against one second text."""
+
+    def __init__(self, second: str) -> None:
+        self.length = len(second)
+        self.blocks = SequenceMatcher(None, "", second, autojunk=False)
+
+    def reaches(self, first: str, need: int) -> bool:
+        """Whether the matching blocks hold `need` letters; stops once that is sure or out of reach."""
+        if min(len(first), self.length) < need:
+            return False
+        self.blocks.set_seq1(first)
+        found, possible = 0, min(len(first), self.length)
+        open_ = [(0, len(first), 0, self.length)]
+        while open_ and found < need <= found + possible:
+            alo, ahi, blo, bhi = open_.pop()
+            possible -= min(ahi - alo, bhi - blo)
+            i, j, size = self.blocks.find_longest_match(alo, ahi, blo, bhi)
+            if size:
+                found += size
+                sides = [(alo, i, blo, j), (i + size, ahi, j + size, bhi)]
+                sides = [s for s in sides if s[0] < s[1] and s[2] < s[3]]
+                possible += sum(min(s[1] - s[0], s[3] - s[2]) for s in sides)
+                open_ += sorted(sides, key=lambda s: min(s[1] - s[0], s[3] - s[2]))
+        return found >= need
+
+
 def reaches(a: str, b: str, threshold: float) -> bool:
-    """ratio(a, b) >= threshold, with the cheap upper bounds tried first."""
-    matcher = SequenceMatcher(None, a, b, autojunk=False)
-    if matcher.real_quick_ratio() < threshold or matcher.quick_ratio() < threshold:
-        return False
-    return matcher.ratio() >= threshold
+    """ratio(a, b) >= threshold."""
+    return Matcher(b).reaches(a, matches_needed(len(a) + len(b), threshold)) if a or b else threshold <= 1.0
 
 
 def similar_incidents(x: tuple, y: tuple) -> bool:

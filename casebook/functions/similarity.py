@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType
 from casebook.functions.judges import ratio
 
 TINY = 3
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
 @F.pandas_udf(DoubleType())
@@ -24,10 +25,41 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
-def length_bound(a: Column, b: Column, threshold: float) -> Column:
+def length_bound(a: Column, b: Column, threshold: Column | float) -> Column:
     """2 * shorter / (sum of lengths) can still reach the threshold."""
     la, lb = F.length(a), F.length(b)
-    return 2 * F.least(la, lb) >= F.lit(threshold) * (la + lb)
+    return 2 * F.least(la, lb) >= _number(threshold) * (la + lb) * (1 - 1e-12)
+
+
+def histogram(text: Column) -> Column:
+    """How often each letter, digit and the space occur in a folded text, and how many other characters."""
+    counts = F.transform(
+        F.array(*[F.lit(c) for c in LETTERS]), lambda c: F.length(text) - F.length(F.replace(text, c, F.lit(""))))
+    known = F.aggregate(counts, F.lit(0), lambda total, n: total + n)
+    return F.concat(counts, F.array(F.length(text) - known))
+
+
+def histogram_bound(a: Column, b: Column, joint: Column, threshold: Column | float) -> Column:
+    """Letters that both texts hold, twice over their joint length, can still reach the threshold.
+
+    a, b: histograms.  Characters counted as one class only raise the bound.
+    """
+    common = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda total, n: total + n)
+    return 2 * common >= _number(threshold) * joint * (1 - 1e-12)
+
+
+def shared_grams(joint: Column, threshold: Column | float) -> Column:
+    """Numbered grams that two texts of this joint length share if they reach the threshold (see `probe_size`)."""
+    return 3 * F.ceil(_number(threshold) * joint / 2 - 1e-9) - joint - 1
+
+
+def aligned_grams(length: Column, threshold: float) -> Column:
+    """The same for a text of this length and its shortest possible partner."""
+    return F.ceil(F.lit(1.5 * threshold - 1.0) * (length * F.lit(2.0 / (2.0 - threshold))) - 1 - 1e-9)
+
+
+def _number(threshold: Column | float) -> Column:
+    return threshold if isinstance(threshold, Column) else F.lit(threshold)
 
 
 def grams(text: Column) -> Column:
@@ -39,12 +71,11 @@ def grams(text: Column) -> Column:
     plain = F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2))
     )
-    numbered = F.transform(
-        plain,
-        lambda g, i: F.concat(
-            g, F.size(F.filter(F.slice(plain, F.lit(1), i + 1), lambda x: x == g)).cast("string")
-        ),
-    )
+    numbered = F.flatten(F.transform(
+        F.array_distinct(plain),
+        lambda g: F.transform(
+            F.sequence(F.lit(1), F.size(F.filter(plain, lambda x: x == g))), lambda n: F.concat(g, n.cast("string"))),
+    ))
     letters = F.transform(F.split(text, ""), lambda c: F.concat(F.lit("~"), c))
     return F.when(F.length(text) <= TINY, F.array_distinct(F.concat(numbered, letters))).otherwise(numbered)
 

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casebook import fixed
 from casebook.functions import payload
 from casebook.operators import candidates, fusion, merge, neardup, ranking, resolve, sampling
 from casebook.operators.components import connected_components
@@ -209,14 +210,74 @@ def near_dup_native(a: Archive) -> DataFrame:
     SELECT group_id, id, first_value(id) OVER (PARTITION BY group_id ORDER BY n DESC, id) AS survivor_id,
       count(*) OVER (PARTITION BY group_id) AS size FROM m JOIN t USING (id)""")
 def near_dup_groups(a: Archive) -> DataFrame:
-    _, members = neardup.near_duplicate_groups(a.named_incident, dt.date(1995, 1, 1))
+    members = neardup.near_duplicate_members(a.named_incident, dt.date(1995, 1, 1))
     return members.select("group_id", "id", "survivor_id", "size")
 
 
-@query("near_dup_pairs")
+def _bits(text: str) -> str:
+    return "CASE WHEN length(" + text + ") < 40 THEN 0 ELSE " + " + ".join(
+        f"CASE WHEN regexp_matches({text}, '{p}') THEN {1 << i} ELSE 0 END" for i, p in enumerate(fixed.CONTEXT_CUES)) + " END"
+
+
+_STOPWORDS = "[" + ", ".join(f"'{w}'" for w in fixed.NAME_STOPWORDS) + "]"
+_INSIDE = "length(p) > 5 AND length(q) > 5 AND (contains(p, q) OR contains(q, p))"
+# Records in comparable form, contents under their smallest id, their pairs in one block, and each pair's first signal.
+_SIGNALS = f"""
+    f AS (SELECT id, coalesce(source_count, 1) AS n, title, city, CAST(event_date AS DATE) AS day, {fold_sql('city')} AS c, {fold_sql('title')} AS t,
+        {fold_sql('chronological_description')} AS g, {fold_sql('victims_summary')} AS v,
+        {fold_sql("concat_ws(' ', nullif(chronological_description, ''), nullif(victims_summary, ''), nullif(neighborhood, ''))")} AS x
+      FROM report WHERE (content_class IS NULL OR content_class = 'incident') AND city IS NOT NULL AND event_date IS NOT NULL),
+    k AS (SELECT *, {_bits('x')} AS cues, CASE WHEN v = '' THEN [] ELSE list_distinct([v, w[1] || ' ' || w[-1]]
+        || [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) END AS keys
+      FROM (SELECT *, [p FOR p IN string_split(v, ' ') IF NOT list_contains({_STOPWORDS}, p)] AS w FROM f)),
+    u AS (SELECT *, min(id) OVER (PARTITION BY day, c, t, g, v, x) AS class_id FROM k),
+    o AS (SELECT a.id AS id_a, b.id AS id_b, a.t AS ta, b.t AS tb, a.g AS ga, b.g AS gb, a.x AS xa, b.x AS xb, a.cues & b.cues > 0 AS cued,
+        list_has_any(a.keys, b.keys) OR len([1 FOR p IN a.keys IF len([1 FOR q IN b.keys IF {_INSIDE}]) > 0]) > 0 AS named
+      FROM u a JOIN u b ON a.day = b.day AND a.c = b.c AND a.id < b.id WHERE a.id = a.class_id AND b.id = b.class_id),
+    open AS (SELECT * FROM o WHERE NOT named AND NOT (ta <> '' AND tb <> '' AND (contains(ta, tb) OR contains(tb, ta)))),
+    {ratio_steps("SELECT ta AS a, tb AS b FROM open UNION SELECT ga, gb FROM open UNION SELECT xa, xb FROM open WHERE cued")},
+    r AS (SELECT o.*, t.score AS title, g.score AS text, coalesce(cued AND x.score >= 0.28, FALSE) AS told
+      FROM o LEFT JOIN scored t ON t.a = ta AND t.b = tb LEFT JOIN scored g ON g.a = ga AND g.b = gb LEFT JOIN scored x ON x.a = xa AND x.b = xb),
+    s AS (SELECT id_a, id_b, CASE WHEN named THEN 'victim_name' WHEN ta <> '' AND tb <> '' AND (contains(ta, tb) OR contains(tb, ta)) THEN 'title_substring'
+        WHEN title >= 0.8 THEN 'title_fuzzy' WHEN title >= 0.72 AND told THEN 'title_soft_mo' WHEN text >= 0.55 THEN 'description_fuzzy'
+        WHEN told THEN 'mo_context' END AS signal, title, text FROM r)"""
+_SCORE = """CASE signal WHEN 'victim_name' THEN 1.0 WHEN 'title_substring' THEN 0.95 WHEN 'mo_context' THEN 0.85
+        WHEN 'description_fuzzy' THEN s.text ELSE s.title END"""
+
+
+@query("near_dup_pairs", ("report",), f"""
+    WITH RECURSIVE {_SIGNALS}
+    SELECT id_a, id_b, round({_SCORE}, 3) AS similarity, signal, a.title AS title_a, b.title AS title_b, a.city, a.day AS event_date,
+      a.n AS source_count_a, b.n AS source_count_b, CASE WHEN a.n >= b.n THEN id_a ELSE id_b END AS suggested_survivor_id
+    FROM s JOIN f a ON a.id = id_a JOIN f b ON b.id = id_b WHERE signal IS NOT NULL""")
 def near_dup_pairs(a: Archive) -> DataFrame:
-    pairs, _ = neardup.near_duplicate_groups(a.named_incident, dt.date(1995, 1, 1))
-    return pairs
+    """Every pair of different contents with a signal, a content standing for all its copies."""
+    pairs, _ = neardup.near_duplicate_pairs(a.report)
+    return neardup.pair_rows(pairs, a.report).withColumn("title_a", F.nullif("title_a", F.lit(""))).withColumn("title_b", F.nullif("title_b", F.lit("")))
+
+
+@query("near_dup_members", ("report",), f"""
+    WITH RECURSIVE {_SIGNALS},
+    e AS (SELECT id_a AS a, id_b AS b FROM s WHERE signal IS NOT NULL UNION SELECT id_b, id_a FROM s WHERE signal IS NOT NULL
+      UNION SELECT id, class_id FROM u WHERE id <> class_id UNION SELECT class_id, id FROM u WHERE id <> class_id),
+    w(p, q) AS (SELECT a, a FROM e UNION SELECT w.p, e.b FROM w JOIN e ON w.q = e.a),
+    m AS (SELECT p AS id, min(q) AS group_id FROM w GROUP BY 1)
+    SELECT group_id, id, first_value(id) OVER (PARTITION BY group_id ORDER BY n DESC, id) AS survivor_id,
+      count(*) OVER (PARTITION BY group_id) AS size FROM m JOIN f USING (id)""")
+def near_dup_members(a: Archive) -> DataFrame:
+    """Group, survivor and size of every report that shares a group."""
+    return neardup.near_duplicate_members(a.report).select("group_id", "id", "survivor_id", "size")
+
+
+@query("near_dup_classes", ("report",), f"""
+    WITH RECURSIVE {_SIGNALS},
+    l AS (SELECT id_a AS i FROM s WHERE signal IS NOT NULL UNION ALL SELECT id_b FROM s WHERE signal IS NOT NULL)
+    SELECT u.id, class_id, count(i) AS links FROM u LEFT JOIN l ON i = class_id GROUP BY 1, 2""")
+def near_dup_classes(a: Archive) -> DataFrame:
+    """Every report in scope with its content's class and how many other contents that class links to."""
+    pairs, classes = neardup.near_duplicate_pairs(a.report)
+    ends = pairs.select(F.explode(F.array("id_a", "id_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    return classes.join(ends, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 @query("largest_duplicate_groups", ("incident",), f"""

@@ -213,12 +213,45 @@ def spark_exprs(columns: dict[str, str]) -> list[str]:
     return [f"{expr} AS {name}" for name, expr in columns.items()]
 
 
+# Reports of incidents in free wording: most pairs of a half month and city tell of different incidents, some
+# share a name (of two to four parts), a title, parts of a title or description, or a circumstance.
+_MIX = "(o_orderkey * 7919 + o_custkey * 104729)"
+_PRICE = "CAST(floor(o_totalprice) AS BIGINT)"
+SUBJECTS = ["Homem", "Mulher", "Jovem de 19 anos", "Adolescente", "Policial militar de folga", "Casal", "Motorista de aplicativo", "Ex-vereador"]
+DEEDS = ["é morto a tiros", "é encontrado sem vida", "morre após briga", "é executado por encapuzados", "desaparece e é achado em cova rasa"]
+SPOTS = ["no centro", "na zona norte da capital", "dentro de bar", "às margens da rodovia", "em frente de casa", "num terreno baldio",
+         "na saída de uma festa", "perto da escola municipal", "em loja de peças", "no cais do porto", "durante o velório do primo"]
+MEANS = ["12 tiros", "uma faca de cozinha", "golpes de machado", "15 facadas", "arma de grosso calibre", "uma corda", "35 disparos", "pedradas",
+         "um único disparo no peito", "veneno no café", "barra de ferro"]
+TOLD = ["Moradores ouviram gritos por volta das", "A polícia foi chamada às", "O corpo estava na sala; vizinhos notaram algo às",
+        "Câmeras mostram dois suspeitos fugindo às", "Segundo a família, tudo começou às", "Testemunhas contam que o crime ocorreu às"]
+ENDS = ["ninguém foi preso", "um suspeito se entregou horas depois", "a delegacia investiga vingança", "o filho da vítima viu tudo na kitnet",
+        "a esposa e o filho escaparam", "a motivação seria dívida de jogo", "o caso corre em sigilo", "exames ainda não ficaram prontos",
+        "cinco homens armados são procurados"]
+_PART = "CASE WHEN {0} % 3 = 0 THEN '' WHEN {0} % 3 = 1 THEN ' da' ELSE ' ' || " + pick("{0} // 5", ["Neto", "Alves", "Batista", "Moura"]) + " END"
+REPORT = {
+    "id": "o_orderkey",
+    "content_class": "'incident'",
+    "event_date": "CASE WHEN o_orderkey % 61 = 0 THEN NULL WHEN extract(day FROM o_orderdate) > 15"
+                  " THEN CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) + INTERVAL '15' DAY ELSE CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) END",
+    "city": "CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE c_mktsegment || ' ' || CAST(c_nationkey AS VARCHAR(9)) END",
+    "neighborhood": "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'Vila ' || " + pick("o_custkey", ["Nova", "Rica", "São José", "das Flores", "Operária"]) + " END",
+    "title": f"CASE WHEN o_orderkey % 47 = 0 THEN NULL ELSE {pick(_MIX, SUBJECTS)} || ' ' || {pick(_MIX + ' // 8', DEEDS)} || ' '"
+             f" || {pick(_PRICE, SPOTS)} || CASE WHEN o_orderkey % 9 = 0 THEN ', diz polícia' ELSE '' END END",
+    "chronological_description": f"CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE {pick(_PRICE + ' // 11', TOLD)} || ' ' || CAST({_MIX} % 24 AS VARCHAR(9))"
+                                 f" || 'h; a vítima foi atingida com ' || {pick(_MIX + ' // 40', MEANS)} || ' e ' || {pick(_PRICE + ' // 66', ENDS)} END",
+    "victims_summary": "CASE WHEN o_orderkey % 5 < 3 THEN NULL ELSE " + pick("o_custkey", FIRST_NAMES) + " || " + _PART.format("(o_custkey // 3)")
+                       + " || ' ' || " + pick("o_custkey // 11", LAST_NAMES) + " || CASE WHEN o_custkey % 4 = 0 THEN ' Filho' ELSE '' END END",
+    "source_count": "CAST(1 + o_orderkey % 4 AS INT)",
+}
+
 _RAW_SQL = (
     "SELECT " + _select(RAW) + f" FROM (SELECT *, {RAW_ID_SQL} AS raw_id FROM lineitem) l JOIN supplier ON l_suppkey = s_suppkey"
 )
 SQL_VIEWS = {
     "incident": "SELECT " + _select(INCIDENT) + " FROM orders JOIN customer ON o_custkey = c_custkey",
     "raw": _RAW_SQL,
+    "report": "SELECT " + _select(REPORT) + " FROM orders JOIN customer ON o_custkey = c_custkey",
     "source": "SELECT " + _select(SOURCE) + " FROM events",
     "attempt": "SELECT " + _select(ATTEMPT) + " FROM events",
     "article": "SELECT " + _select(ARTICLE) + " FROM documents",
@@ -253,6 +286,13 @@ class Archive:
         base = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         return base.selectExpr(*spark_exprs(INCIDENT))
 
+    @cached_property
+    def report(self) -> DataFrame:
+        base = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        spark_form = {name: expr.replace(" // ", " DIV ") for name, expr in REPORT.items()}
+        people = F.array().cast("array<struct<name:string>>")
+        return base.selectExpr(*spark_exprs(spark_form)).withColumn("people", people)
+
     @cached_property
     def raw(self) -> DataFrame:
         lines = self.table("lineitem").withColumn("raw_id", F.expr(RAW_ID_SPARK))
