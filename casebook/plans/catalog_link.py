@@ -291,14 +291,39 @@ def largest_duplicate_groups(a: Archive) -> DataFrame:
     return ranking.largest_groups(groups)
 
 
-@query("pending_clusters")
+_PENDING = f"""
+    p AS (SELECT id, CASE WHEN event_date IS NOT NULL AND coalesce(city, '') <> '' THEN CAST(CAST(event_date AS DATE) AS VARCHAR) ELSE 'no_date' END AS gd,
+        CASE WHEN coalesce(city, '') <> '' THEN lower(city) ELSE 'unknown' END AS gc, CAST(event_date AS DATE) AS day, {fold_sql('city')} AS c,
+        event_date IS NOT NULL AND city IS NOT NULL AS placed, CASE WHEN name IS NULL THEN '' ELSE {fold_sql('name')} END AS n, {fold_sql('title')} AS t
+      FROM raw WHERE deduplication_status = 'pending')"""
+
+
+def _pending_pairs(block: str, names: bool) -> str:
+    """o: pairs of one block, smaller id first; scored: the ratios of their texts."""
+    texts = "SELECT ta AS a, tb AS b FROM o" + (" UNION SELECT na, nb FROM o" if names else "")
+    return f"""o AS (SELECT x.id AS x, y.id AS y, x.t AS ta, y.t AS tb, x.n AS na, y.n AS nb FROM p x JOIN p y ON {block} AND x.id < y.id),
+    {ratio_steps(texts)}"""
+
+
+@query("pending_clusters", ("raw",), f"""
+    WITH RECURSIVE {_PENDING}, {_pending_pairs("x.gd = y.gd AND x.gc = y.gc", True)},
+    m AS (SELECT x, y FROM o LEFT JOIN scored t ON t.a = ta AND t.b = tb LEFT JOIN scored s ON s.a = na AND s.b = nb
+      WHERE (na <> '' AND nb <> '' AND (contains(na, nb) OR contains(nb, na) OR s.score >= 0.85)) OR (ta <> '' AND ta = tb) OR t.score >= 0.8),
+    e AS (SELECT x AS a, y AS b FROM m UNION SELECT y, x FROM m),
+    w(p, q) AS (SELECT a, a FROM e UNION SELECT w.p, e.b FROM w JOIN e ON w.q = e.a)
+    SELECT id, coalesce(min(q), id) AS cluster_id FROM p LEFT JOIN w ON w.p = id GROUP BY id""")
 def pending_clusters(a: Archive) -> DataFrame:
     pending = a.named_raw.where(F.col("deduplication_status") == "pending")
     grouped = neardup.pending_groups(pending)
     return neardup.cluster_groups(grouped, resolve.GROUP)
 
 
-@query("pending_overlaps")
+@query("pending_overlaps", ("raw",), f"""
+    WITH RECURSIVE {_PENDING}, {_pending_pairs("x.day = y.day AND x.c = y.c AND x.placed AND y.placed", False)},
+    m AS (SELECT x, y FROM o LEFT JOIN scored t ON t.a = ta AND t.b = tb
+      WHERE (na <> '' AND na = nb) OR (length(na) >= 6 AND length(nb) >= 6 AND (contains(na, nb) OR contains(nb, na))) OR ta = tb OR t.score >= 0.7)
+    SELECT day, c AS city_key, count(*) AS members, min(id) AS first_id, max(id) AS last_id
+    FROM p WHERE id IN (SELECT x FROM m UNION SELECT y FROM m) GROUP BY 1, 2""")
 def pending_overlaps(a: Archive) -> DataFrame:
     pending = a.named_raw.where(F.col("deduplication_status") == "pending")
     return neardup.pending_overlaps(pending)
@@ -472,7 +497,29 @@ def resolution_pass(a: Archive) -> DataFrame:
     return summary
 
 
-@query("match_cases")
+_WORDS_OF = "list_filter(string_split({0}, ' '), lambda q: q <> '')"
+_PAIR_IN = "len([1 FOR i IN range(1, len({0})) IF contains({1}, {0}[i] || ' ' || {0}[i + 1])]) > 0"
+
+
+@query("match_cases", ("raw", "incident"), f"""
+    WITH RECURSIVE
+    r AS (SELECT id, unique_event_id, lower(city) AS c, event_date, CASE WHEN name IS NULL THEN '' ELSE {fold_sql('name')} END AS n, {fold_sql('title')} AS t,
+        {fold_sql('chronological_description')} AS g, {fold_sql("concat_ws(' ', title, chronological_description)")} AS whole FROM raw),
+    u AS (SELECT id, lower(city) AS c, event_date, trim(split_part({fold_sql('victims_summary')}, ',', 1)) AS head, {fold_sql('title')} AS t,
+        {fold_sql('chronological_description')} AS g, {fold_sql("concat_ws(' ', victims_summary, title, chronological_description)")} AS whole FROM incident),
+    o AS (SELECT r.id AS raw_id, u.id AS unique_id, r.t AS ta, u.t AS tb, r.g AS ga, u.g AS gb, r.whole AS ra, u.whole AS ub, n,
+        {_WORDS_OF.format('n')} AS nw, {_WORDS_OF.format('head')} AS hw,
+        abs(date_diff('day', CAST(r.event_date AS DATE), CAST(u.event_date AS DATE))) AS gap
+      FROM r JOIN u ON r.c = u.c AND u.event_date BETWEEN r.event_date - INTERVAL 7 DAY AND r.event_date + INTERVAL 7 DAY
+      WHERE r.unique_event_id IS DISTINCT FROM u.id),
+    {ratio_steps("SELECT ta AS a, tb AS b FROM o UNION SELECT ga, gb FROM o")},
+    d AS (SELECT raw_id, unique_id, gap FROM o LEFT JOIN scored t ON t.a = ta AND t.b = tb LEFT JOIN scored g ON g.a = ga AND g.b = gb
+      WHERE NOT ((n <> '' AND (contains(ub, n) OR {_PAIR_IN.format('nw', 'ub')} OR (len(nw) >= 2 AND contains(ub, nw[1]) AND contains(ub, nw[-1]))))
+        OR {_PAIR_IN.format('hw', 'ra')} OR (ta <> '' AND tb <> '' AND (contains(ta, tb) OR contains(tb, ta)))
+        OR coalesce(t.score >= 0.7, FALSE) OR coalesce(g.score >= 0.55, FALSE))),
+    k AS (SELECT raw_id, unique_id, CAST(row_number() OVER (PARTITION BY raw_id ORDER BY gap, unique_id) AS INT) AS rank FROM d)
+    SELECT id AS raw_id, unique_event_id AS candidate_id, 0 AS rank, TRUE AS is_match FROM raw WHERE unique_event_id IS NOT NULL
+    UNION ALL SELECT raw_id, unique_id, rank, FALSE FROM k WHERE rank <= 3""")
 def match_cases(a: Archive) -> DataFrame:
     records = a.named_raw.withColumn("description", F.col("chronological_description"))
     incidents = a.incident.withColumnsRenamed({"victims_summary": "summary", "chronological_description": "description"})
