@@ -788,10 +788,7 @@ def stream_attempt_numbers(a: Archive) -> DataFrame:
     from casebook.plans.standins import ATTEMPT, spark_exprs
 
     rows = ingest.event_time(_stream(a, "events").selectExpr(*spark_exprs(ATTEMPT)), "created_at")
-    slim = rows.select("id", "source_google_news_id", "stage", "created_at")
-    folder = work_folder(a.spark, "attempts")
-    ingest.drain(slim, f"{folder}/state", state.attempt_numberer(folder))
-    return a.spark.read.schema(state.ATTEMPT_NUMBERS).parquet(f"{folder}/out").select("id", "attempt_no")
+    return _run(state.attempt_numbers(rows), "append", "attempts").select("id", "attempt_no")
 
 
 @query("stream_stuck_alerts", ("source",), """
@@ -803,3 +800,14 @@ def stream_stuck_alerts(a: Archive) -> DataFrame:
 
     rows = _stream(a, "events").selectExpr(*spark_exprs(SOURCE)).select(F.col("user_id").alias("id"), "status", "updated_at")
     return _run(state.stuck_alerts(rows), "append", "stuck").select("id", "status", "return_to")
+
+
+@query("stream_silences", ("source",), """
+    SELECT user_id AS worker, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS silent_from FROM (
+      SELECT user_id, fetched_at, lead(fetched_at) OVER (PARTITION BY user_id ORDER BY fetched_at) AS next FROM (SELECT DISTINCT user_id, fetched_at FROM source))
+    WHERE next - fetched_at > INTERVAL 30 HOUR OR (next IS NULL AND fetched_at + INTERVAL 30 HOUR < (SELECT max(fetched_at) FROM source) - INTERVAL 2 HOUR)""")
+def stream_silences(a: Archive) -> DataFrame:
+    """Every silence of more than 30 hours between two signs of a user, and those that still last."""
+    rows = _stream(a, "events").select(F.col("user_id").alias("worker"), F.col("ts").alias("seen_at"))
+    out = _run(state.silence_alarms(rows, 30 * 60), "append", "silences")
+    return out.select("worker", F.date_format("silent_from", "yyyy-MM-dd HH:mm:ss").alias("silent_from"))

@@ -282,20 +282,78 @@ def test_date_bounds_reach_the_scan(spark, tmp_path):
         assert "GreaterThanOrEqual(event_date" in pushed and "LessThan(event_date" in pushed
 
 
-def test_attempt_numbers_of_a_key_beyond_one_arrow_batch(spark):
+def _files(spark, rows, ddl, name):
+    """A stream over a folder, and a way to add rows to it as one more file."""
     path = folder()
-    write = state.attempt_numberer(path)
+
+    def add(more):
+        more = more if hasattr(more, "write") else spark.createDataFrame(more, ddl)
+        more.coalesce(1).write.mode("append").parquet(f"{path}/in")
+
+    def drained(build):
+        """Start (or restart from the checkpoint) and read all that was written so far."""
+        def write(batch, batch_id):
+            batch.write.mode("overwrite").parquet(f"{path}/out/{name}/batch={batch_id}")
+
+        source = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        ingest.drain(build(source), f"{path}/state", write)
+        return spark.read.parquet(f"{path}/out/{name}")
+
+    add(rows)
+    return add, drained
+
+
+def test_attempt_numbers_go_on_after_a_restart_and_beyond_one_arrow_batch(spark):
     rows = spark.range(25_000).select(
         ((F.col("id") * 7919) % 25_000).alias("id"), F.lit(1).cast("long").alias("source_google_news_id"), F.lit("download").alias("stage"))
     timed = rows.withColumn("created_at", F.timestamp_seconds(1_700_000_000 + F.col("id")))
-    write(timed.where("id < 20000"), 0)
-    write(timed.where("id >= 20000"), 1)
-    write(timed.where("id >= 20000"), 1)  # run again
-    got = spark.read.schema(state.ATTEMPT_NUMBERS).parquet(path + "/out")
+    add, drained = _files(spark, timed.where("id < 20000"), timed.schema.simpleString()[7:-1].replace(":", " "), "numbers")
+    assert drained(state.attempt_numbers).count() == 20_000
+    add(timed.where("id >= 20000"))
+    got = drained(state.attempt_numbers)
     assert got.count() == 25_000 and got.where("attempt_no <> id + 1").count() == 0
     assert got.where(F.col("can_retry") != (F.col("attempt_no") < fixed.RETRY_MAX_ATTEMPTS)).count() == 0
 
 
+def test_a_batch_writes_state_for_its_own_keys_only(spark):
+    """State rows updated by a batch follow its keys, not all keys ever seen."""
+    every = spark.range(500).select("id", F.col("id").alias("source_google_news_id"), F.lit("download").alias("stage"), F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("created_at"))
+    path = folder()
+    every.coalesce(1).write.parquet(f"{path}/in")
+    updated = []
+    for _ in range(2):
+        source = spark.readStream.schema(every.schema).parquet(f"{path}/in")
+        run = ingest.drain(state.attempt_numbers(source), f"{path}/state", lambda batch, _: batch.write.format("noop").mode("overwrite").save())
+        updated.append(sum(p["stateOperators"][0]["numRowsUpdated"] for p in run.recentProgress if p["numInputRows"]))
+        every.where("id < 3").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    assert updated[0] >= 500 and updated[1] <= 10
+
+
+def test_timers_survive_a_restart(spark):
+    ddl = "id long, status string, updated_at timestamp"
+    at = lambda minutes: NOW + dt.timedelta(minutes=minutes)
+    add, drained = _files(spark, [(1, "extracting", at(0)), (2, "downloading", at(0))], ddl, "stuck")
+    assert drained(state.stuck_alerts).count() == 0
+    add([(2, "ready_for_extraction", at(10)), (3, "discarded", at(11))])
+    assert drained(state.stuck_alerts).count() == 0
+    add([(9, "discarded", at(600))])
+    assert {(r["id"], r["status"], r["return_to"]) for r in drained(state.stuck_alerts).collect()} == {(1, "extracting", "ready_for_extraction")}
+
+
+def test_silence_is_reported_once_while_it_lasts(spark):
+    at = lambda minutes: NOW + dt.timedelta(minutes=minutes)
+    build = lambda stream: state.silence_alarms(stream, 60)
+    add, drained = _files(spark, [(1, at(0)), (1, at(30)), (2, at(0)), (2, at(90)), (2, at(100)), (3, at(0))], "worker long, seen_at timestamp", "silent")
+    assert {(r["worker"], r["silent_from"]) for r in drained(build).collect()} == {(2, at(0))}
+    add([(1, at(400)), (3, at(20))])  # 1 was silent from 30; the watermark passes 3's timer and 2's
+    add([(2, at(410)), (1, at(420))])
+    found = sorted((r["worker"], r["silent_from"]) for r in drained(build).collect())
+    assert found == [(1, at(30)), (2, at(0)), (2, at(100)), (3, at(20))]
+    add([(3, at(900))])  # the silence of 3 from 20 was reported already; others are silent from their last sign
+    found = sorted((r["worker"], r["silent_from"]) for r in drained(build).collect())
+    assert found == [(1, at(30)), (1, at(420)), (2, at(0)), (2, at(100)), (2, at(410)), (3, at(20))]
+
+
 def test_write_new_reads_only_its_buckets(spark):
     path = folder()
     write = ingest.write_new(path + "/known", ["id"], buckets=8)
