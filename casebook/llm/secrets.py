@@ -217,8 +217,10 @@ def redact(docs: DataFrame) -> DataFrame:
         "row_id", F.col("row.source").alias("source"), F.col("row.lang").alias("lang"), F.explode("tokens").alias("s"),
     ).select("row_id", _owner(), _repository(), F.col("s.value").alias("value"), F.sha2("s.value", 256).alias("hash"))
     live = each.join(live_values(each), "hash").where("live").groupBy("row_id").agg(F.collect_set("value").alias("values"))
+    # The longest first: a value that starts another one must not leave the other's tail.
+    longest_first = F.array_sort(F.coalesce(F.col("values"), F.array().cast("array<string>")), lambda a, b: F.length(b) - F.length(a))
     hidden = F.aggregate(
-        F.coalesce(F.col("values"), F.array().cast("array<string>")), _mask_base(F.col("plain")),
+        longest_first, _mask_base(F.col("plain")),
         lambda text, value: F.replace(text, value, F.lit(MASK)),
     )
     some = hot.join(live, "row_id", "left").select("row", hidden.alias("hidden"))

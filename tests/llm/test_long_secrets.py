@@ -16,3 +16,10 @@ def test_long_tokens_are_counted_and_masked(spark):
     assert spans == {1: "own:4:168", 2: "own:4:40,own:41:341,own:342:684", 3: "", 4: "", 5: ""}
     safe = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     assert safe == {1: "key [SECRET] here", 2: "jwt [SECRET].[SECRET].[SECRET] end", **{i: f"copied {example} x" for i in (3, 4, 5)}}
+
+
+def test_a_value_inside_another_leaves_no_tail(spark):
+    short = "Qw3Er5Ty7Ui9Op1As2Df"
+    texts = [(i, f"x {short}77Tail88Secret y {short} z", "en", "one") for i in range(3)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")
+    assert {r["text"] for r in secrets.redact(docs).collect()} == {"x [SECRET] y [SECRET] z"}
