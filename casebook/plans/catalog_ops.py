@@ -18,6 +18,7 @@ from casebook.plans.registry import query
 from casebook.plans.standins import EVENTS_AS_OF, Archive
 from casebook.session import work_folder
 from casebook.streaming import ingest, state
+from casebook.streaming import resolve as resolve_stream
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 TRANSIENT = ", ".join(f"'{r}'" for r in fixed.TRANSIENT_REASONS)
@@ -811,3 +812,20 @@ def stream_silences(a: Archive) -> DataFrame:
     rows = _stream(a, "events").select(F.col("user_id").alias("worker"), F.col("ts").alias("seen_at"))
     out = _run(state.silence_alarms(rows, 30 * 60), "append", "silences")
     return out.select("worker", F.date_format("silent_from", "yyyy-MM-dd HH:mm:ss").alias("silent_from"))
+
+
+@query("stream_components", (), """
+    WITH RECURSIVE e AS (SELECT DISTINCT o_custkey * 2 AS a, o_custkey // 3 * 14 + CAST(floor(o_totalprice) AS BIGINT) % 7 * 2 + 1 AS b FROM orders),
+    n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+    r(x, y) AS (SELECT x, x FROM n UNION SELECT r.x, n.y FROM r JOIN n ON r.y = n.x)
+    SELECT x AS id, min(y) AS component FROM r GROUP BY 1""")
+def stream_components(a: Archive) -> DataFrame:
+    """Customers tied together by neighbourhood and price class; edges arrive in three batches and fold into a stored table."""
+    band = F.expr("o_custkey DIV 3 * 14 + CAST(floor(o_totalprice) AS BIGINT) % 7 * 2 + 1")
+    edges = a.table("orders").select((F.col("o_custkey") * 2).alias("id_a"), band.alias("id_b"))
+    folder = work_folder(a.spark, "components")
+    edges.repartition(3, "id_b", "id_a").write.parquet(f"{folder}/in")
+    table = resolve_stream.ComponentTable(folder, buckets=8)
+    arriving = a.spark.readStream.schema(edges.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    ingest.drain(arriving, f"{folder}/state", table.fold)
+    return table.components(a.spark)
