@@ -195,8 +195,9 @@ def near_dup_native(a: Archive) -> DataFrame:
     return connected_components(neardup.native_links(rows))
 
 
-@query("near_dup_groups", ("incident",), f"""
-    WITH RECURSIVE t AS (SELECT id, coalesce(source_count, 1) AS n, {fold_sql('title')} AS t, {fold_sql('city')} AS c, {DAY_CITY} AS d,
+# Members of the near-duplicate groups of the incidents since 1995: steps t ... m, then the rows.
+_NEAR_STEPS = f"""
+    t AS (SELECT id, coalesce(source_count, 1) AS n, {fold_sql('title')} AS t, {fold_sql('city')} AS c, {DAY_CITY} AS d,
         coalesce({fold_sql("split_part(victims_summary, ',', 1)")}, '') AS k, {fold_sql("chronological_description")} AS g FROM incident
       WHERE (content_class IS NULL OR content_class = 'incident') AND city IS NOT NULL AND event_date >= TIMESTAMP '1995-01-01'),
     o AS (SELECT x.id AS x, y.id AS y, x.t AS xt, y.t AS yt, x.g AS xg, y.g AS yg, x.k AS xk, y.k AS yk
@@ -206,9 +207,13 @@ def near_dup_native(a: Archive) -> DataFrame:
       WHERE (xk <> '' AND yk <> '' AND (xk = yk OR contains(xk, yk) OR contains(yk, xk)))
         OR contains(xt, yt) OR contains(yt, xt) OR s.score >= 0.8 OR g.score >= 0.55),
     w(x, y) AS (SELECT a, a FROM e UNION SELECT w.x, e.b FROM w JOIN e ON w.y = e.a),
-    m AS (SELECT x AS id, min(y) AS group_id FROM w GROUP BY 1)
+    m AS (SELECT x AS id, min(y) AS group_id FROM w GROUP BY 1)"""
+_NEAR_ROWS = """
     SELECT group_id, id, first_value(id) OVER (PARTITION BY group_id ORDER BY n DESC, id) AS survivor_id,
-      count(*) OVER (PARTITION BY group_id) AS size FROM m JOIN t USING (id)""")
+      count(*) OVER (PARTITION BY group_id) AS size FROM m JOIN t USING (id)"""
+
+
+@query("near_dup_groups", ("incident",), f"WITH RECURSIVE {_NEAR_STEPS} {_NEAR_ROWS}")
 def near_dup_groups(a: Archive) -> DataFrame:
     members = neardup.near_duplicate_members(a.named_incident, dt.date(1995, 1, 1))
     return members.select("group_id", "id", "survivor_id", "size")
@@ -305,19 +310,34 @@ def _pending_pairs(block: str, names: bool) -> str:
     {ratio_steps(texts)}"""
 
 
-@query("pending_clusters", ("raw",), f"""
-    WITH RECURSIVE {_PENDING}, {_pending_pairs("x.gd = y.gd AND x.gc = y.gc", True)},
+_PENDING_STEPS = f"""{_PENDING}, {_pending_pairs("x.gd = y.gd AND x.gc = y.gc", True)},
     m AS (SELECT x, y FROM o LEFT JOIN scored t ON t.a = ta AND t.b = tb LEFT JOIN scored s ON s.a = na AND s.b = nb
       WHERE (na <> '' AND nb <> '' AND (contains(na, nb) OR contains(nb, na) OR s.score >= 0.85)) OR (ta <> '' AND ta = tb) OR t.score >= 0.8),
     e AS (SELECT x AS a, y AS b FROM m UNION SELECT y, x FROM m),
-    w(p, q) AS (SELECT a, a FROM e UNION SELECT w.p, e.b FROM w JOIN e ON w.q = e.a)
-    SELECT id, coalesce(min(q), id) AS cluster_id FROM p LEFT JOIN w ON w.p = id GROUP BY id""")
+    w(p, q) AS (SELECT a, a FROM e UNION SELECT w.p, e.b FROM w JOIN e ON w.q = e.a)"""
+_PENDING_ROWS = "SELECT id, coalesce(min(q), id) AS cluster_id FROM p LEFT JOIN w ON w.p = id GROUP BY id"
+
+
+@query("pending_clusters", ("raw",), f"WITH RECURSIVE {_PENDING_STEPS} {_PENDING_ROWS}")
 def pending_clusters(a: Archive) -> DataFrame:
     pending = a.named_raw.where(F.col("deduplication_status") == "pending")
     grouped = neardup.pending_groups(pending)
     return neardup.cluster_groups(grouped, resolve.GROUP)
 
 
+@query("model_clusters", ("raw",), f"""
+    WITH RECURSIVE {_PENDING_STEPS}, c AS ({_PENDING_ROWS}),
+    k AS (SELECT id, gd, gc, row_number() OVER (PARTITION BY gd, gc ORDER BY id) AS no FROM p WHERE n = '' AND id NOT IN (SELECT a FROM e))
+    SELECT id, cluster_id FROM c WHERE id NOT IN (SELECT id FROM k)
+    UNION ALL SELECT id, CASE WHEN no <= 2 THEN min(id) FILTER (no <= 2) OVER (PARTITION BY gd, gc) ELSE id END FROM k WHERE no <= 3""")
+def model_clusters(a: Archive) -> DataFrame:
+    """Pending clusters where a model put the first two nameless records of each group together and the third alone."""
+    grouped = neardup.pending_groups(a.named_raw.where(F.col("deduplication_status") == "pending"))
+    said = F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3), F.lit(900_000_000)))
+    predictions = grouped.select(*resolve.GROUP).distinct().withColumn("clusters", said)
+    return neardup.cluster_groups(grouped, resolve.GROUP, predictions)
+
+
 @query("pending_overlaps", ("raw",), f"""
     WITH RECURSIVE {_PENDING}, {_pending_pairs("x.day = y.day AND x.c = y.c AND x.placed AND y.placed", False)},
     m AS (SELECT x, y FROM o LEFT JOIN scored t ON t.a = ta AND t.b = tb
@@ -337,8 +357,8 @@ _PLAN = f"""plan AS (SELECT id AS loser, survivor FROM (
       WHERE t <> '' AND c <> '' AND d IS NOT NULL) WHERE size > 1 AND id <> survivor)"""
 
 
-@query("survivor_merge", ("incident", "raw"), f"""
-    WITH {_PLAN},
+# What is left of the incidents after the merges of `plan`.
+_AFTER_MERGE = """
     links AS (SELECT coalesce(survivor, unique_event_id) AS u, count(*) AS n FROM raw LEFT JOIN plan ON unique_event_id = loser
       WHERE unique_event_id IS NOT NULL GROUP BY 1),
     donor AS (SELECT survivor, min(loser) AS loser FROM plan JOIN incident ON id = loser WHERE latitude IS NOT NULL GROUP BY 1)
@@ -347,12 +367,34 @@ _PLAN = f"""plan AS (SELECT id AS loser, survivor FROM (
       CASE WHEN i.latitude IS NULL THEN g.longitude ELSE i.longitude END AS longitude,
       CASE WHEN i.id IN (SELECT survivor FROM plan) THEN TRUE ELSE i.needs_enrichment END AS needs_enrichment
     FROM incident i LEFT JOIN links ON i.id = links.u LEFT JOIN donor d ON i.id = d.survivor LEFT JOIN incident g ON g.id = d.loser
-    WHERE i.id NOT IN (SELECT loser FROM plan)""")
+    WHERE i.id NOT IN (SELECT loser FROM plan)"""
+
+
+@query("survivor_merge", ("incident", "raw"), f"WITH {_PLAN}, {_AFTER_MERGE}")
 def survivor_merge(a: Archive) -> DataFrame:
     merged, _, _ = merge.merge_exact(a.incident, a.raw)
     return merged.select("id", "source_count", "latitude", "longitude", "needs_enrichment")
 
 
+@query("near_merge", ("incident", "raw"), f"""
+    WITH RECURSIVE {_NEAR_STEPS}, near AS ({_NEAR_ROWS}), plan AS (SELECT id AS loser, survivor_id AS survivor FROM near WHERE id <> survivor_id),
+    {_AFTER_MERGE}""")
+def near_merge(a: Archive) -> DataFrame:
+    """Incidents after the near-duplicate merge."""
+    merged, _, _ = merge.merge_near(a.named_incident, a.raw, dt.date(1995, 1, 1))
+    return merged.select("id", "source_count", "latitude", "longitude", "needs_enrichment")
+
+
+@query("near_merge_audit", ("incident", "raw"), f"""
+    WITH RECURSIVE {_NEAR_STEPS}, near AS ({_NEAR_ROWS}), plan AS (SELECT id AS loser, survivor_id AS survivor FROM near WHERE id <> survivor_id)
+    SELECT survivor AS survivor_id, count(DISTINCT loser) AS events_merged, count(raw.id) AS records_relinked
+    FROM plan LEFT JOIN raw ON unique_event_id = loser GROUP BY 1""")
+def near_merge_audit(a: Archive) -> DataFrame:
+    """Per survivor, the incidents merged into it and the records that moved."""
+    _, _, audit = merge.merge_near(a.named_incident, a.raw, dt.date(1995, 1, 1))
+    return audit
+
+
 @query("relink_links", ("incident", "raw"), f"""
     WITH {_PLAN}
     SELECT raw.id, coalesce(survivor, unique_event_id) AS unique_event_id,
@@ -467,6 +509,43 @@ def public_field_derivation(a: Archive) -> DataFrame:
     return parsed.withColumn("f", fields).select("id", "f.security_force_victim", "f.criminal_groups", "f.criminal_group_connected")
 
 
+_DATE_TEXTS = "CASE id % 4 WHEN 0 THEN '2024-02-31' WHEN 1 THEN 'sem data' ELSE strftime(event_date, '%Y-%m-%d') END"
+
+
+@query("raw_event_columns", ("raw",), """
+    SELECT id, CASE WHEN id % 4 > 1 THEN date_trunc('day', event_date) END AS event_date, city, state, neighborhood, victim_count,
+      CAST(id % 3 AS INT) AS identified_victim_count, event_family, event_subtype,
+      CASE WHEN event_family = 'homicidio' THEN 'Homicídio' END AS homicide_type, method_of_death, title, chronological_description, content_class,
+      TRUE AS extraction_success FROM raw""")
+def raw_event_columns(a: Archive) -> DataFrame:
+    """Flat columns of nested records; days that no calendar has become null."""
+    parsed = _nested(a).select("id", payload.raw_columns(F.col("r")).alias("c")).select("id", "c.*")
+    return parsed.select(
+        "id", F.col("event_date").cast("timestamp_ntz").alias("event_date"), "city", "state", "neighborhood", "victim_count", "identified_victim_count",
+        "event_family", "event_subtype", "homicide_type", "method_of_death", "title", "chronological_description", "content_class", "extraction_success")
+
+
+@query("scored_case_fields", ("raw",), f"""
+    SELECT id, {_DATE_TEXTS} AS date, id % 2 = 0 AS has_explicit_date, city, state, neighborhood, victim_count AS number_of_victims,
+      event_family, event_subtype, method_of_death AS method FROM raw""")
+def scored_case_fields(a: Archive) -> DataFrame:
+    """Fields of nested records that evaluation compares."""
+    return _nested(a).select("id", payload.scored_fields(F.col("r")).alias("f")).select("id", "f.*")
+
+
+def _nested(a: Archive) -> DataFrame:
+    """(id, r): each record written as JSON and parsed back."""
+    day = F.when(F.col("id") % 4 == 0, "2024-02-31").when(F.col("id") % 4 == 1, "sem data").otherwise(F.date_format("event_date", "yyyy-MM-dd"))
+    record = F.struct(
+        F.struct("city", "state", "neighborhood").alias("location_info"),
+        F.struct(day.alias("date"), F.struct((F.col("id") % 2 == 0).alias("has_explicit_date")).alias("date_verification")).alias("date_time"),
+        F.struct(F.col("victim_count").alias("number_of_victims"), (F.col("id") % 3).cast("int").alias("number_of_identifiable_victims")).alias("victims"),
+        F.struct("title", F.col("method_of_death").alias("method"), "chronological_description").alias("homicide_dynamic"),
+        "event_family", "event_subtype", "content_class",
+    )
+    return a.raw.select("id", payload.parse(F.to_json(record)).alias("r"))
+
+
 # --- resolution pass and case building -----------------------------------------------------------
 @query("accepted_matches", ("raw", "incident"), f"""
     WITH RECURSIVE {_NAMES}, {ratio_steps(f"{_TITLE_PAIRS} UNION {_NAME_PAIRS}")}, {_ALL_CANDIDATES},

@@ -361,3 +361,21 @@ def test_write_new_reads_only_its_buckets(spark):
     write(spark.range(50, 120), 1)
     known = spark.read.parquet(path + "/known")
     assert known.count() == 120 and known.select("id").distinct().count() == 120
+
+
+def test_database_round_trip_in_id_ranges(spark):
+    """Written in batches and read back by several tasks through an embedded database."""
+    from casebook.sources import tables
+
+    url = f"jdbc:derby:{folder()}/db;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.range(1000).select(F.col("id"), F.concat(F.lit("cidade "), F.col("id") % 7).alias("city"), (F.col("id") / 4).alias("value"))
+    tables.write_jdbc(rows.coalesce(1), url, "incident", batch_size=100, mode="overwrite", **driver)
+    tables.write_jdbc(rows.where("id < 3").withColumn("id", F.col("id") + 2000).coalesce(1), url, "incident", **driver)
+    got = tables.read_jdbc(spark, url, "incident", partitions=4, **driver)
+    assert got.rdd.getNumPartitions() == 4
+    got = got.toDF("id", "city", "value")
+    want = rows.unionByName(rows.where("id < 3").withColumn("id", F.col("id") + 2000))
+    assert got.exceptAll(want).count() == 0 and got.count() == 1003
+    tables.write_jdbc(rows.where("id < 0").coalesce(1), url, "nothing", mode="overwrite", **driver)
+    assert tables.read_jdbc(spark, url, "nothing", **driver).count() == 0
