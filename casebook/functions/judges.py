@@ -5,8 +5,6 @@ from __future__ import annotations
 import math
 from difflib import SequenceMatcher
 
-from casebook import fixed
-
 
 def ratio(a: str, b: str) -> float:
     """2M/T over matching blocks, on all letters whatever the length of the texts."""
@@ -51,38 +49,3 @@ class Matcher:
 def reaches(a: str, b: str, threshold: float) -> bool:
     """ratio(a, b) >= threshold."""
     return Matcher(b).reaches(a, matches_needed(len(a) + len(b), threshold)) if a or b else threshold <= 1.0
-
-
-def similar_incidents(x: tuple, y: tuple) -> bool:
-    """Any scored near-duplicate signal between (title, description, cues, context)."""
-    title_x, text_x, cues_x, context_x = x
-    title_y, text_y, cues_y, context_y = y
-    if title_x and title_y and reaches(title_x, title_y, fixed.TITLE_RATIO):
-        return True
-    if text_x and text_y and reaches(text_x, text_y, fixed.DESCRIPTION_RATIO):
-        return True
-    return bool(cues_x & cues_y) and reaches(context_x, context_y, fixed.CONTEXT_RATIO)
-
-
-def names_or_title(x: tuple, y: tuple) -> bool:
-    """A fuzzy name pair, or equal / similar titles; names are newline-joined."""
-    names_x, title_x = x
-    names_y, title_y = y
-    if title_x and title_y and (title_x == title_y or reaches(title_x, title_y, fixed.TITLE_RATIO)):
-        return True
-    mine, theirs = names_x.split("\n") if names_x else [], names_y.split("\n") if names_y else []
-    return any(reaches(a, b, fixed.NAME_RATIO) for a in mine for b in theirs)
-
-
-def pending_titles(x: tuple, y: tuple) -> bool:
-    """Similar titles of pending records; two empty titles count as equal."""
-    return reaches(x[0], y[0], fixed.PENDING_TITLE_RATIO) if x[0] or y[0] else True
-
-
-def rows_alike(x: tuple, y: tuple) -> bool:
-    """Similar titles or descriptions of evaluation rows."""
-    title_x, text_x = x
-    title_y, text_y = y
-    if title_x and title_y and reaches(title_x, title_y, fixed.PENDING_TITLE_RATIO):
-        return True
-    return bool(text_x and text_y and reaches(text_x, text_y, fixed.DESCRIPTION_RATIO))
