@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from casebook import schemas
@@ -30,16 +30,22 @@ def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = Fal
 
 
 def read_jdbc(
-    spark: SparkSession, url: str, table: str, partition_column: str = "id", partitions: int = 64, **options: str,
+    spark: SparkSession, url: str, table: str, partition_column: str = "id", partitions: int = 64, quote: str = '"', **options: str,
 ) -> DataFrame:
-    """Database table read in id ranges by parallel tasks; the database gives the bounds."""
-    source = spark.read.format("jdbc").options(url=url, **options)
-    bounds = f"SELECT min({partition_column}) AS low, max({partition_column}) AS high FROM {table}"
-    low, high = source.option("query", bounds).load().first()
+    """Database table read in id ranges by parallel tasks; the database gives the bounds.
+
+    `quote` is the database's mark around column names, whose case then counts.
+    """
+    def source() -> DataFrameReader:  # a reader keeps every option it is given
+        return spark.read.format("jdbc").options(url=url, **options)
+
+    column = f"{quote}{partition_column}{quote}"
+    bounds = f"SELECT min({column}) AS low, max({column}) AS high FROM {table}"
+    low, high = source().option("query", bounds).load().first()
     if low is None:
-        return source.option("dbtable", table).load()
+        return source().option("dbtable", table).load()
     ranges = {"partitionColumn": partition_column, "lowerBound": str(low), "upperBound": str(high + 1), "numPartitions": str(partitions)}
-    return source.options(dbtable=table, **ranges).load()
+    return source().options(dbtable=table, **ranges).load()
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, batch_size: int = 1000, mode: str = "append", **options: str) -> None:
