@@ -8,6 +8,7 @@ end of a page is text or is dropped as in browsers.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
@@ -34,13 +35,12 @@ CHROME_WORDS = frozenset({
 TITLE_WORDS = frozenset({"header", "banner"})  # inside an article these enclose its title
 NEVER_BY_WORD = frozenset({"html", "body", "main"})
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_TO_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_STOP = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_SPANS = {"<!--": "-->", "<![CDATA[": "]]>"}  # what is skipped whole, to the page's end if it is not closed
+_SPAN_OPEN = {close: len(start) for start, close in _SPANS.items()}
 _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 FOREIGN_WORDS = frozenset({  # may outweigh the article, yet never hold it
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "cookie", "cookies", "consent",
@@ -103,8 +103,10 @@ class _Reader:
         self.page = Page()
         self.stack: list[tuple[str, int]] = []  # (tag, HARD or SOFT chrome, 1 content, 0 neither)
         self.soft: list[int] = []  # open SOFT elements, by number
-        self.wraps: list[bool] = []  # of every SOFT element: content markup starts in it, or it stands in none
-        self.found: list[tuple[int, str, tuple[int, ...]]] = []  # (kind, text, SOFT elements around it)
+        self.parent: list[int] = []  # of every SOFT element: the SOFT element around it, or -1
+        self.alone: list[bool] = []  # it stands in no content markup
+        self.holds: list[bool] = []  # content markup starts in it (marked at the innermost element only)
+        self.found: list[tuple[int, str, int]] = []  # (kind, text, innermost SOFT element around it, or -1)
         self.open: Counter[str] = Counter()
         self.kinds: Counter[int] = Counter()
         self.run: list[str] = []
@@ -122,7 +124,7 @@ class _Reader:
             if text := squeeze("".join(self.run)):
                 self.page.lines.append(text)
                 if not self.kinds[HARD]:
-                    self.found.append((INSIDE if self.kinds[1] else OUTSIDE, text, tuple(self.soft)))
+                    self.found.append((INSIDE if self.kinds[1] else OUTSIDE, text, self.soft[-1] if self.soft else -1))
             self.run = []
 
     def _pop(self) -> None:
@@ -134,16 +136,22 @@ class _Reader:
 
     def decide(self) -> None:
         """Fill the page's blocks: a SOFT element is chrome unless it holds over half of the text, or of the text in content markup."""
-        total, held = [0, 0], [[0, 0] for _ in self.wraps]
-        for kind, text, around in self.found:
-            for sums in (total, *(held[i] for i in around)):
+        total, held = [0, 0], [[0, 0] for _ in self.parent]
+        for kind, text, inner in self.found:
+            for sums in (total, held[inner]) if inner >= 0 else (total,):
                 sums[0] += len(text)
                 sums[1] += len(text) * (kind == INSIDE)
-        chrome = {
-            i for i, own in enumerate(held)
-            if not self.wraps[i] or not any(2 * part > whole for part, whole in zip(own, total, strict=True))
-        }
-        self.page.blocks = [(kind, text) for kind, text, around in self.found if chrome.isdisjoint(around)]
+        for i in range(len(self.parent) - 1, -1, -1):  # an element has a higher number than those around it
+            if (up := self.parent[i]) >= 0:
+                held[up][0] += held[i][0]
+                held[up][1] += held[i][1]
+                self.holds[up] |= self.holds[i]
+        chrome: list[bool] = []
+        for i, own in enumerate(held):
+            most = any(2 * part > whole for part, whole in zip(own, total, strict=True))
+            up = self.parent[i]
+            chrome.append(not (self.alone[i] or self.holds[i]) or not most or up >= 0 and chrome[up])
+        self.page.blocks = [(kind, text) for kind, text, inner in self.found if inner < 0 or not chrome[inner]]
 
     def start(self, tag: str, source: str) -> None:
         chrome = _chrome(tag, source, bool(self.kinds[1]))
@@ -161,11 +169,12 @@ class _Reader:
             return
         kind = chrome or int(_is_content(tag, source))
         if kind == SOFT:
-            self.soft.append(len(self.wraps))
-            self.wraps.append(not self.kinds[1])
-        elif kind == 1:
-            for i in self.soft:
-                self.wraps[i] = True
+            self.parent.append(self.soft[-1] if self.soft else -1)
+            self.soft.append(len(self.alone))
+            self.alone.append(not self.kinds[1])
+            self.holds.append(False)
+        elif kind == 1 and self.soft:
+            self.holds[self.soft[-1]] = True
         if kind or tag in ("div", "section", "p"):
             self.stack.append((tag, kind))
             self.open[tag] += 1
@@ -187,30 +196,86 @@ class _Reader:
             self.link = None
 
 
+class _TagEnds:
+    """Where the tags of one page end: at the first `>` outside quotes, else at the first `>`.
+
+    Each look takes the time of the tag itself.  The first tag that has no end outside
+    quotes is scanned to the end of the page; from then on ends come from one pass from
+    the right over all quotes and `>`.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.stops: list[int] = []
+        self.ends: list[int] = []  # end of a tag whose next stop is this one; -1: none outside quotes
+        self.scanned = False
+
+    def end(self, at: int) -> int:
+        """Place of the `>` that ends the tag whose name ends at `at`; there is a `>` at or behind it."""
+        if not self.scanned:
+            if found := _TO_END.match(self.html, at):
+                return found.end() - 1
+            self._scan()
+        i = bisect_left(self.stops, at)
+        end = self.ends[i] if i < len(self.stops) else -1
+        return end if end >= 0 else self.html.find(">", at)
+
+    def _scan(self) -> None:
+        self.scanned = True
+        self.stops = [m.start() for m in _STOP.finditer(self.html)]
+        self.ends = [-1] * len(self.stops)
+        behind: dict[str, int] = {}  # end of a tag that is outside quotes behind the next quote of this kind
+        following = -1
+        for i in range(len(self.stops) - 1, -1, -1):
+            sign = self.html[self.stops[i]]
+            own = self.stops[i] if sign == ">" else behind.get(sign, -1)
+            if sign != ">":
+                behind[sign] = following
+            self.ends[i] = following = own
+
+
+def _raw_end(html: str, tag: str, at: int) -> tuple[int, int]:
+    """Start and end of the end tag of a raw element; the page's end if there is none."""
+    found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+    end = html.find(">", found.end()) if found else -1
+    return (found.start(), end + 1) if found and end >= 0 else (len(html), len(html))
+
+
 def read_page(html: str) -> Page:
+    """Time is linear in the page's size, whatever is broken in it."""
     reader, at = _Reader(), 0
-    size = len(html)
+    size, ends = len(html), _TagEnds(html)
     while at < size:
-        found = _TOKEN.search(html, at)
-        if found is None:
+        start = html.find("<", at)
+        if start < 0:
             reader.text(html[at:])
             break
-        reader.text(html[at : found.start()])
-        at = found.end()
-        tag = (found[2] or found[5] or "").lower()
-        if not tag:
+        reader.text(html[at:start])
+        if closing := next((c for o, c in _SPANS.items() if html.startswith(o, start)), None):
+            end = html.find(closing, start + _SPAN_OPEN[closing])
+            at = size if end < 0 else end + len(closing)
+            continue
+        name = _NAME.match(html, start) if start < ends.last else None
+        if name is None:
+            if start < ends.last and html[start + 1] in "!?/":
+                at = html.find(">", start + 2) + 1
+            else:
+                reader.text("<")
+                at = start + 1
             continue
-        if found[1] or found[4]:
+        end = ends.end(name.end())
+        tag, source, at = name[2].lower(), html[name.end() : end], end + 1
+        if name[1]:
             reader.end(tag)
-        elif tag in RAW and not (found[3] or found[6] or "").endswith("/"):
+        elif tag in RAW and not source.endswith("/"):
             if tag in BLOCK:
                 reader.flush()
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            inside, after = _raw_end(html, tag, at)
             if tag == "title" and not reader.page.title:
-                reader.page.title = squeeze(html[at : close.start() if close else size])
-            at = close.end() if close else size
+                reader.page.title = squeeze(html[at:inside])
+            at = after
         else:
-            reader.start(tag, found[3] or found[6] or "")
+            reader.start(tag, source)
     reader.end_link()
     reader.flush()
     reader.decide()
