@@ -156,7 +156,11 @@ def context_text(description: Column, summary: Column, neighborhood: Column) ->
 
 def context_cues(text: Column) -> Column:
     """Bit mask of distinctive circumstance cues; 0 for texts under 40 letters."""
-    mask = F.lit(0)
-    for i, pattern in enumerate(fixed.CONTEXT_CUES):
-        mask = mask + F.when(text.rlike("(?U)" + pattern), 1 << i).otherwise(0)
-    return F.when(F.length(text) >= 40, mask).otherwise(0)
+
+    def mask(told: Column) -> Column:
+        found = F.lit(0)
+        for i, pattern in enumerate(fixed.CONTEXT_CUES):
+            found = found + F.when(told.rlike("(?U)" + pattern), 1 << i).otherwise(0)
+        return F.when(F.length(told) >= 40, found).otherwise(0)
+
+    return let(text, mask)  # the text is folded once, not for each pattern

@@ -213,3 +213,10 @@ def test_postal_and_region(spark):
     assert one(spark, "123", places.postal_code) is None
     assert one(spark, "RM", lambda c: taxonomy.region_key(F.lit("CL"), c)) == "Metropolitana"
     assert one(spark, "sp", lambda c: taxonomy.region_key(F.lit("BR"), c)) == "SP"
+
+
+def test_cues_fold_their_text_once(spark):
+    df = spark.createDataFrame([("A vítima levou 15 tiros dentro da kitnet alugada no bairro",), ("15 tiros",), (None,)], "t string")
+    got = df.select(names.context_cues(names.context_text(F.col("t"), F.lit(None), F.lit(None))).alias("cues"))
+    assert [r["cues"] for r in got.collect()] == [3, 0, 0]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
