@@ -220,3 +220,15 @@ def test_cues_fold_their_text_once(spark):
     got = df.select(names.context_cues(names.context_text(F.col("t"), F.lit(None), F.lit(None))).alias("cues"))
     assert [r["cues"] for r in got.collect()] == [3, 0, 0]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
+def test_record_text_is_made_once(spark):
+    """A record that is written as JSON and parsed back is written once, and odd texts stay NULL."""
+    from casebook.functions import payload
+
+    rows = spark.createDataFrame([(1, "a")], "id int, event_family string")
+    written = rows.select(payload.parse(F.to_json(F.struct("event_family"))).alias("r"))
+    assert written._jdf.queryExecution().analyzed().toString().count("to_json(") == 1
+    assert written.first()["r"]["event_family"] == "a"
+    odd = spark.createDataFrame([(t,) for t in (None, "", "[]", "{", ' {"event_family": "b"}')], "t string")
+    assert [r[0] for r in odd.select(payload.parse(F.col("t"))["event_family"]).collect()] == [None] * 4 + ["b"]
