@@ -14,7 +14,7 @@ from casebook.operators.components import connected_components
 from casebook.plans.catalog_text import fold_sql
 from casebook.plans.registry import query
 from casebook.plans.standins import ORDERS_AS_OF, Archive
-from casebook.session import cut
+from casebook.session import cut, shelved
 
 DAY_CITY = "CAST(event_date AS DATE)"
 
@@ -110,7 +110,9 @@ def title_equal_block(a: Archive) -> DataFrame:
 @query("victim_name_block", ("raw", "incident"), f"""
     WITH RECURSIVE {_NAMES}, {ratio_steps(_NAME_PAIRS)} SELECT raw_id, unique_id FROM ({_BY_NAME})""")
 def victim_name_block(a: Archive) -> DataFrame:
-    return candidates.by_victim_name(a.named_raw, a.named_incident, ORDERS_AS_OF).select(
+    needed = ["id", "city", "event_date", "names"]  # read for the repeats, the names and each kind of date
+    records, incidents = (shelved(df.select(*needed), "named") for df in (a.named_raw, a.named_incident))
+    return candidates.by_victim_name(records, incidents, ORDERS_AS_OF).select(
         F.col("r_id").alias("raw_id"), F.col("u_id").alias("unique_id")
     )
 
